@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waylace.llm import bpe, exact_dedup, mixing, quality, quality_rules, simhash, token_files, url_filter
+from waylace.llm import bpe, exact_dedup, mixing, pii, quality, quality_rules, secrets, simhash, token_files, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,18 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_positions(_documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(_documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(_documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir))
 
