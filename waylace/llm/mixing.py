@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waylace.llm.arrow import append_columns
+from waylace.llm.arrow import append_columns, map_rows
 from waylace.plans.scratch import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -47,17 +47,14 @@ MOST_SOURCES = 2_000_000
 _PROPORTION_FROM = 500_000_000
 
 
-def word_count(text_col: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``doc_id, source, size`` in words and ``tie``, a hash of the text that orders rows of one id."""
+    rows = docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.xxhash64(F.col(text_col)), F.col(text_col).cast("binary"))
 
+    def make():
+        return lambda doc_id, source, tie, raw: (doc_id, source, len(raw.split()) if raw else 0, tie)  # bytes split at 0x20 and 0x09-0x0D
 
-def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(text_col).alias("size"),
-        F.xxhash64(F.col(text_col)).alias("tie"),
-    )
+    return map_rows(rows, make, "doc_id long, source string, size long, tie long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -291,15 +288,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     All columns stay; ``chars_col``, where present, follows the new text.
     """
     found = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    key = ["doc_id", "source", "size", "tie"]
+    key = ["doc_id", "source", "tie"]
     # rows that repeat a key have one text: their lists are kept side by side and dealt by ordinal
     plans = materialize(found.groupBy(*key).agg(F.collect_list("times").alias("_wl_plans")).select(*[F.col(c).alias(f"_wl_{c}") for c in key], "_wl_plans"), "plans")
-    keyed = docs.withColumns({"_wl_k_size": word_count(text_col), "_wl_k_tie": F.xxhash64(F.col(text_col))})
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_wl_doc_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_wl_source")) & (F.col("_wl_k_size") == F.col("_wl_size")) & (F.col("_wl_k_tie") == F.col("_wl_tie"))
+    keyed = docs.withColumn("_wl_k_tie", F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_wl_doc_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_wl_source")) & (F.col("_wl_k_tie") == F.col("_wl_tie"))
     joined = keyed.join(plans, same)
     picked = joined.where(F.size("_wl_plans") == 1).withColumn("_wl_times", F.col("_wl_plans")[0])
     if not plans.where(F.size("_wl_plans") > 1).isEmpty():
-        window = Window.partitionBy("_wl_doc_id", "_wl_source", "_wl_size", "_wl_tie").orderBy("_wl_tie")
+        window = Window.partitionBy("_wl_doc_id", "_wl_source", "_wl_tie").orderBy("_wl_tie")
         several = joined.where(F.size("_wl_plans") > 1).withColumn("_wl_n", F.row_number().over(window))
         picked = picked.unionByName(several.where(F.col("_wl_n") <= F.size("_wl_plans")).withColumn("_wl_times", F.element_at("_wl_plans", F.col("_wl_n"))).drop("_wl_n"))
     rows = picked.select(*docs.columns, "_wl_times")
