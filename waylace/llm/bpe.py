@@ -219,15 +219,24 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), text_col), make, schema)
 
 
-def append_ids(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with all its columns and the ids of its texts in ``ids_col``."""
+def append_ids(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", digest_col: str = "decoded_sha256", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``docs`` with all its columns, the ids of its texts and the SHA-256 of what they decode to.
+
+    Columns that have these two names already are replaced.
+    """
     shared, pattern = _shared(docs, path), pattern or default_pattern()
 
     def make():
         encoder = _encoder(shared, pattern)
-        return lambda text: (encoder.encode(text),)
+        entry = shared.value.bytes_of.__getitem__
+
+        def row(text):
+            ids = encoder.encode(text)
+            return ids, hashlib.sha256(b"".join(map(entry, ids))).hexdigest()
+
+        return row
 
-    return append_columns(docs.drop(ids_col), make, [text_col], f"{ids_col} array<int>")
+    return append_columns(docs.drop(ids_col, digest_col), make, [text_col], f"{ids_col} array<int>, {digest_col} string")
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

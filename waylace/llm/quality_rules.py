@@ -154,10 +154,12 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def learn_rules(stats: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_LABELLED) -> list[Rule]:
     """The list for a table of statistics and labels by ``doc_id``."""
     features = stats.select("doc_id", F.array(*FEATURES).alias("x"))
-    table = labelled_rows(features, labels, label_col, most).select("x", "y").sort("x", "y").toArrow()
+    table = labelled_rows(features, labels, label_col, most).select("x", "y").toArrow()
     if not table.num_rows:
         return []
-    return learn_list(np.array(table["x"].to_pylist(), dtype=np.float64), table["y"].to_numpy())
+    x, y = np.array(table["x"].to_pylist(), dtype=np.float64), table["y"].to_numpy()
+    order = np.lexsort((y, *x.T))  # the list must not depend on the order in which rows came
+    return learn_list(x[order], y[order])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
