@@ -72,9 +72,9 @@ def fingerprint(raw: bytes | None, width: int = SHINGLE_WORDS) -> int:
 
 def _make_fingerprint(width: int):
     def make():
-        def row(doc_id, raw):
+        def row(doc_id, tie, raw):
             fp = fingerprint(raw, width)
-            return doc_id, fp - (1 << 64) if fp >> 63 else fp
+            return doc_id, tie, fp - (1 << 64) if fp >> 63 else fp
 
         return row
 
@@ -82,9 +82,9 @@ def _make_fingerprint(width: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id long, fp long)`` for every row; ``fp`` holds the 64 bits as signed."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    return map_rows(rows, _make_fingerprint(width), "doc_id long, fp long")
+    """``doc_id``, ``tie`` (a hash that tells texts of one id apart) and ``fp``, the 64 bits as signed, for every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).cast("binary").alias("raw"))
+    return map_rows(rows, _make_fingerprint(width), "doc_id long, tie long, fp long")
 
 
 def position_masks(shared: int = MIN_SHARED) -> list[int]:
@@ -209,8 +209,8 @@ def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     return dealt.mapInArrow(_posting_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint`` (hex) and ``component_id``."""
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their fingerprints, and ``(fp, root, component_id)`` of each fingerprint."""
     rows = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     links = materialize(near_links(distinct), "links")
@@ -219,22 +219,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = materialize(rooted, "rooted")
     discard(links)
     smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
-    classes = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
+    return rows, materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+    """One row per document: ``doc_id, fingerprint`` (hex) and ``component_id``."""
+    rows, classes = _classified(docs, id_col, text_col, width)
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one row for each component, the one with its smallest id; all columns stay.
 
-    Of rows that share that id (repeated ids) one stays.
+    Null ids come last; of rows that share that id, one stays.
     """
-    classes = near_duplicates(docs, id_col, text_col, width)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_wl_id")).groupBy("_wl_id").agg(F.count("*").alias("_wl_rows"))
-    stay = materialize(stay, "stay")
-    joined = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_wl_id")))
-    ids = F.col(id_col).cast("long").isNotNull() & (F.col("_wl_rows") == 1)
-    once = joined.where(ids).select(*docs.columns)
-    if stay.where("_wl_rows > 1 or _wl_id is null").isEmpty():
+    rows, classes = _classified(docs, id_col, text_col, width)
+    counted = rows.groupBy("doc_id", "tie", "fp").agg(F.count("*").alias("n")).join(classes.select("fp", "root"), "fp")
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "n")).alias("first"))
+    stay = materialize(first.select(F.col("first.doc_id").alias("_wl_id"), F.col("first.tie").alias("_wl_tie"), F.col("first.n").alias("_wl_n")), "stay")
+    keyed = docs.withColumn("_wl_key", F.xxhash64(F.col(text_col)))
+    joined = keyed.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_wl_id")) & (F.col("_wl_key") == F.col("_wl_tie")))
+    once = joined.where("_wl_n = 1").select(*docs.columns)
+    if stay.where("_wl_n > 1").isEmpty():
         return once
-    several = joined.where(~ids).withColumn("_wl_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-1))).dropDuplicates(["_wl_key"]).select(*docs.columns)
+    several = joined.where("_wl_n > 1").withColumn("_wl_id", F.coalesce("_wl_id", F.lit(-1))).dropDuplicates(["_wl_id", "_wl_key"]).select(*docs.columns)
     return once.unionByName(several)

@@ -26,6 +26,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -41,6 +42,10 @@ from waylace.llm.arrow import ROWS
 from waylace.plans.scratch import scratch_path
 
 END_ID = 0
+#: How byte-level definitions split texts; a fixed value of that public format.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pre-tokens that a worker process remembers.
+MEMO_ENTRIES = 600_000
 #: Aimed at: text bytes for each file.
 SHARD_BYTES = 24 << 20
 _HEAD = struct.Struct("<QI")
@@ -94,18 +99,63 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_tokenizers: dict[int, object] = {}
+class BatchEncoder:
+    """Encodes texts with the tokenizers library; one for each worker process.
 
+    Where the definition splits texts by the byte-level pattern and has no other
+    step, a pre-token's ids depend on nothing around it.  The library then
+    encodes each distinct pre-token once, and texts are put together from a
+    bounded memo.  Texts that hold an added token, and all texts under other
+    definitions, go to the library whole.
+    """
 
-def _tokenizer(shared):
-    """This process's tokenizer for a broadcast definition."""
-    if id(shared.value) not in _tokenizers:
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        _tokenizers.clear()
-        _tokenizers[id(shared.value)] = Tokenizer.from_str(shared.value)
-    return _tokenizers[id(shared.value)]
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
+        spec = json.loads(definition)
+        split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        plain = not any(spec.get(k) for k in ("truncation", "padding", "normalizer", "post_processor")) and not model.get("dropout")
+        self.by_pretoken = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.find = regex.compile(BYTE_LEVEL_PATTERN).findall
+        self.memo: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of ``kind``."""
+        if not self.by_pretoken:
+            return self._whole(texts)
+        whole = [any(t in text for t in self.added) for text in texts]
+        apart = iter(self._whole([t for t, w in zip(texts, whole, strict=True) if w]))
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        return [next(apart) if w else self._from_memo(t) for t, w in zip(texts, whole, strict=True)]
+
+    def _from_memo(self, text: str) -> bytes:
+        tokens, memo = self.find(text), self.memo
+        new = list({t for t in tokens if t not in memo})
+        if new:
+            memo.update(zip(new, self._whole(new), strict=True))
+        return b"".join([memo[t] for t in tokens])
+
+
+_encoders: dict[int, BatchEncoder] = {}
+
+
+def _encoder(shared) -> BatchEncoder:
+    """This process's encoder for a broadcast definition."""
+    key = id(shared.value)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = BatchEncoder(shared.value)
+    return _encoders[key]
 
 
 _FRAMES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("frame", pa.binary())])
@@ -113,15 +163,14 @@ _FRAMES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("frame", pa
 
 def _framed(shared, bounds: list[int], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared)
-        width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
-        kind = "<u2" if width == 2 else "<u4"
+        encoder = _encoder(shared)
+        end = np.array([end_id], dtype=encoder.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                frames = [frame(i, np.array([*e.ids, end_id], dtype=kind).tobytes(), width) for i, e in zip(ids, found, strict=True)]
+                ids = part.column(0).to_pylist()
+                found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                frames = [frame(i, x + end, encoder.width) for i, x in zip(ids, found, strict=True)]
                 shards = [0 if i is None else bisect_left(bounds, i) for i in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(ids, pa.int64()), pa.array(frames, pa.binary())], schema=_FRAMES)
 
