@@ -163,51 +163,22 @@ def translate(line: Column, dx: Column, dy: Column) -> Column:
 def round_line(line: Column) -> Column:
     """Vertices in millimetres without consecutive repeats; the line itself if fewer than two remain."""
     whole = F.transform(line, lambda p: point(snapped(p["x"]), snapped(p["y"])))
-    kept = F.filter(whole, lambda p, i: (i == 0) | (p != F.get(whole, i - 1)))
-    return F.when(F.size(kept) >= 2, kept).otherwise(line)
+    moves = F.filter(segments(whole), lambda s: s["a"] != s["b"])
+    return F.when(F.size(moves) >= 1, F.concat(F.slice(whole, 1, 1), F.transform(moves, lambda s: s["b"]))).otherwise(line)
 
 
 def moving_average(line: Column, half: int = 2) -> Column:
     """Mean of each vertex and up to ``half`` on either side."""
+    none = F.lit(None).cast("struct<x:double,y:double>")
+    shifted = [F.slice(F.concat(F.array_repeat(none, max(-k, 0)), F.slice(line, max(k, 0) + 1, F.greatest(F.size(line) - max(k, 0), F.lit(0)))), 1, F.size(line)).alias(f"p{k + half}") for k in range(-half, half + 1)]
 
-    def mean(i: Column) -> Column:
-        first = F.greatest(i + 1 - half, F.lit(1))
-        near = F.slice(line, first, F.least(i + 1 + half, F.size(line)) - first + 1)
-        part = lambda axis: F.aggregate(near, F.lit(0.0), lambda total, p: total + p[axis]) / F.size(near)
+    def mean(near: Column) -> Column:
+        parts = [near[f"p{k}"] for k in range(2 * half + 1)]
+        n = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
+        part = lambda axis: sum((F.coalesce(p[axis], F.lit(0.0)) for p in parts), F.lit(0.0)) / n
         return point(part("x"), part("y"))
 
-    return F.transform(line, lambda p, i: mean(i))
-
-
-def measured(line: Column) -> Column:
-    """Segments (a, b) with ``before`` and ``after``, the length of the line up to each end."""
-    start = F.struct(F.lit(0.0).alias("at"), F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>,before:double,after:double>>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        after = acc["at"] + distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
-        more = F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"), acc["at"].alias("before"), after.alias("after")))
-        return F.struct(after.alias("at"), F.concat(acc["out"], more).alias("out"))
-
-    return F.aggregate(segments(line), start, add, lambda acc: acc["out"])
-
-
-def at_length(parts: Column, t: Column) -> Column:
-    """The point at length ``t`` along :func:`measured` segments, clamped to the ends."""
-    last = F.element_at(parts, -1)
-    s = F.coalesce(F.get(F.filter(parts, lambda s: s["after"] >= t), F.lit(0)), last)
-    r = F.coalesce(clamp(F.try_divide(t - s["before"], s["after"] - s["before"]), 0, 1), F.lit(0.0))
-    return point(s["a"]["x"] + r * (s["b"]["x"] - s["a"]["x"]), s["a"]["y"] + r * (s["b"]["y"] - s["a"]["y"]))
-
-
-def interpolate(line: Column, t: Column, normalized: bool = False) -> Column:
-    parts = measured(line)
-    return at_length(parts, t * F.element_at(parts, -1)["after"] if normalized else t)
-
-
-def evenly_spaced(line: Column, n: Column) -> Column:
-    """``n`` (two or more) points from end to end at equal lengths."""
-    parts = measured(line)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: at_length(parts, k / (n - 1) * F.element_at(parts, -1)["after"]))
+    return F.transform(F.arrays_zip(*shifted), mean)
 
 
 def segmentize(line: Column, longest: float) -> Column:
@@ -271,5 +242,5 @@ def ring_centroid(ring: Column) -> Column:
 
 def without_near_interior(line: Column, node: Column, radius: float) -> Column:
     """``line`` without interior vertices within ``radius`` of ``node``; unchanged for a null node."""
-    kept = F.filter(line, lambda p, i: (i == 0) | (i == F.size(line) - 1) | (distance(p["x"], p["y"], node["x"], node["y"]) > radius))
-    return F.when(node.isNull(), line).otherwise(kept)
+    inner = F.filter(F.slice(line, 2, F.greatest(F.size(line) - 2, F.lit(0))), lambda p: distance(p["x"], p["y"], node["x"], node["y"]) > radius)
+    return F.when(node.isNull() | (F.size(line) <= 2), line).otherwise(F.concat(F.slice(line, 1, 1), inner, F.slice(line, -1, 1)))

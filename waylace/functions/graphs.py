@@ -50,9 +50,9 @@ def chain_walks(edges: DataFrame) -> DataFrame:
 
     The walk ``(edge_id, a, b)`` starts at ``a`` over the edge to ``b`` and goes
     on through nodes of degree 2 to the first node of another degree.  Gives
-    ``last`` (that node), ``length`` and ``hops`` of the whole walk, and the
-    degrees ``deg_a`` and ``deg_last``; walks around a ring of degree-2 nodes
-    have null ``last``.  Pointers are doubled in each round, so rounds grow with
+    ``last`` (that node), ``last_edge``, ``length`` and ``hops`` of the whole
+    walk, and the degrees ``deg_a`` and ``deg_last``; walks around a ring of
+    degree-2 nodes have null ``last``, and a self-loop apart from all else none.  Pointers are doubled in each round, so rounds grow with
     the logarithm of the longest chain.
     """
     half = materialize(ends(edges), "half-edges")
@@ -66,7 +66,7 @@ def chain_walks(edges: DataFrame) -> DataFrame:
         half.join(deg_b, "b")
         .join(onward, "b", "left")
         .where("next_edge is null or next_edge <> edge_id")
-        .select("edge_id", "forward", "a", "b", "next_edge", "next_forward", F.when(F.col("next_edge").isNull() & (F.col("deg_b") != 2), F.col("b")).alias("last"), F.col("weight").cast("double").alias("length"), F.lit(1).cast("long").alias("hops")),
+        .select("edge_id", "forward", "a", "b", "next_edge", "next_forward", F.when(F.col("next_edge").isNull() & (F.col("deg_b") != 2), F.col("b")).alias("last"), F.col("weight").cast("double").alias("length"), F.lit(1).cast("long").alias("hops"), F.col("edge_id").alias("last_edge")),
         "walks",
     )
     open_before = -1
@@ -76,7 +76,7 @@ def chain_walks(edges: DataFrame) -> DataFrame:
             break
         open_before = open_now
         ahead = state.select(
-            F.col("edge_id").alias("e"), F.col("forward").alias("f"), F.col("next_edge").alias("n_edge"), F.col("next_forward").alias("n_forward"), F.col("last").alias("n_last"), F.col("length").alias("n_length"), F.col("hops").alias("n_hops")
+            F.col("edge_id").alias("e"), F.col("forward").alias("f"), F.col("next_edge").alias("n_edge"), F.col("next_forward").alias("n_forward"), F.col("last").alias("n_last"), F.col("length").alias("n_length"), F.col("hops").alias("n_hops"), F.col("last_edge").alias("n_last_edge")
         )
         joined = state.join(ahead, (F.col("next_edge") == F.col("e")) & (F.col("next_forward") == F.col("f")), "left")
         moved = materialize(
@@ -90,6 +90,7 @@ def chain_walks(edges: DataFrame) -> DataFrame:
                 F.coalesce("last", "n_last").alias("last"),
                 (F.col("length") + F.coalesce("n_length", F.lit(0.0))).alias("length"),
                 (F.col("hops") + F.coalesce("n_hops", F.lit(0))).alias("hops"),
+                F.coalesce("n_last_edge", "last_edge").alias("last_edge"),
             ),
             "walks",
         )
@@ -97,7 +98,7 @@ def chain_walks(edges: DataFrame) -> DataFrame:
         state = moved
     deg_a = degrees.select(F.col("n").alias("a"), F.col("degree").alias("deg_a"))
     deg_last = degrees.select(F.col("n").alias("last"), F.col("degree").alias("deg_last"))
-    return state.join(deg_a, "a").join(deg_last, "last", "left").select("edge_id", "forward", "a", "b", "last", "length", "hops", "deg_a", "deg_last")
+    return state.join(deg_a, "a").join(deg_last, "last", "left").select("edge_id", "forward", "a", "b", "last", "last_edge", "length", "hops", "deg_a", "deg_last")
 
 
 def leaf_paths(walks: DataFrame) -> DataFrame:
@@ -109,10 +110,10 @@ def leaf_paths(walks: DataFrame) -> DataFrame:
 
 
 def path_edges(walks: DataFrame) -> DataFrame:
-    """Every edge of every leaf's path: ``(leaf, edge_id, position, upto)``.
+    """Every edge of every leaf's path: ``(leaf, edge_id, far, position, upto)``; ``far`` is its end away from the leaf.
 
     An edge lies on a leaf's path if the walk over it towards the leaf ends
     there; that walk's hops and length are the edge's position and the length of
     the path up to and with it.
     """
-    return walks.where("deg_last = 1").select(F.col("last").alias("leaf"), "edge_id", F.col("hops").alias("position"), F.col("length").alias("upto"))
+    return walks.where("deg_last = 1").select(F.col("last").alias("leaf"), "edge_id", F.col("a").alias("far"), F.col("hops").alias("position"), F.col("length").alias("upto"))

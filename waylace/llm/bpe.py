@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waylace.llm.arrow import append_columns, map_rows
+from waylace.llm.pretokens import splitter
 
 #: Pre-tokens up to this length are remembered, this many at a time.
 MEMO_BYTES = 48
@@ -114,10 +115,8 @@ class Encoder:
     """Encodes pre-tokens; one for each worker process, whose tasks share its memo."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        import regex
-
         self.vocabulary = vocabulary
-        self.find = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.rank = {key: i for i, key in vocabulary.bytes_of.items()}
         self.memo: dict[str, tuple[int, ...]] = {}
         pairs = [self.rank.get(bytes((a, b)), _DEAD) for a in range(256) for b in range(256)]
@@ -174,7 +173,7 @@ class Encoder:
     def encode(self, text: str | None) -> list[int]:
         known, out = self.memo.get, []
         extend = out.extend
-        for token in self.find(text or ""):
+        for token in self.split(text or ""):
             extend(known(token) or self.pretoken(token))
         return out
 

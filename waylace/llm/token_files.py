@@ -39,11 +39,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waylace.llm.arrow import ROWS
+from waylace.llm.pretokens import splitter
 from waylace.plans.scratch import scratch_path
 
 END_ID = 0
-#: How byte-level definitions split texts; a fixed value of that public format.
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens that a worker process remembers.
 MEMO_ENTRIES = 600_000
 #: Aimed at: text bytes for each file.
@@ -111,7 +110,6 @@ class BatchEncoder:
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -122,7 +120,7 @@ class BatchEncoder:
         plain = not any(spec.get(k) for k in ("truncation", "padding", "normalizer", "post_processor")) and not model.get("dropout")
         self.by_pretoken = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.find = regex.compile(BYTE_LEVEL_PATTERN).findall
+        self.split = splitter()
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -136,14 +134,11 @@ class BatchEncoder:
         apart = iter(self._whole([t for t, w in zip(texts, whole, strict=True) if w]))
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        return [next(apart) if w else self._from_memo(t) for t, w in zip(texts, whole, strict=True)]
-
-    def _from_memo(self, text: str) -> bytes:
-        tokens, memo = self.find(text), self.memo
-        new = list({t for t in tokens if t not in memo})
-        if new:
-            memo.update(zip(new, self._whole(new), strict=True))
-        return b"".join([memo[t] for t in tokens])
+        split = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
+        new = list(set().union(*split).difference(self.memo))
+        self.memo.update(zip(new, self._whole(new), strict=True))
+        known = self.memo.__getitem__
+        return [next(apart) if w else b"".join(map(known, tokens)) for tokens, w in zip(split, whole, strict=True)]
 
 
 _encoders: dict[int, BatchEncoder] = {}
