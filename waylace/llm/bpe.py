@@ -5,8 +5,8 @@ hash (hash and displace: one hash of the bytes, one displacement per bucket,
 one comparison).  Any other pre-token goes through the merges: its bytes form a
 linked list, adjacent pairs that are entries wait in a heap by (rank, place),
 and stale heap items are skipped.  A pre-token of ``n`` bytes thus costs
-``O(n log n)`` however long it is.  Results of short pre-tokens are remembered
-in a bounded memo in each task.
+``O(n log n)`` however long it is.  Results are remembered in a bounded memo in
+each worker process.
 
 The vocabulary (about 50,000 entries) is sent to the tasks once.
 
@@ -21,7 +21,7 @@ import base64
 import hashlib
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import xxhash
@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waylace.llm.arrow import append_columns, map_rows
-from waylace.llm.pretokens import splitter
+from waylace.llm.pretokens import Memo, splitter
 
-#: Pre-tokens up to this length are remembered, this many at a time.
-MEMO_BYTES = 48
-MEMO_ENTRIES = 600_000
+#: Pre-tokens that a worker process remembers; the memo is emptied between texts.
+MEMO_ENTRIES = 500_000
 _BUCKET = 4
 _DEAD = -1
 
@@ -118,7 +117,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.split = splitter(pattern)
         self.rank = {key: i for i, key in vocabulary.bytes_of.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.pretoken)
         pairs = [self.rank.get(bytes((a, b)), _DEAD) for a in range(256) for b in range(256)]
         self.two = lambda a, b: pairs[a << 8 | b]
 
@@ -163,19 +162,13 @@ class Encoder:
     def pretoken(self, token: str) -> tuple[int, ...]:
         raw = token.encode()
         whole = self.vocabulary.whole(raw)
-        ids = (whole,) if whole is not None else tuple(self.merged(raw))
-        if len(raw) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[token] = ids
-        return ids
+        return (whole,) if whole is not None else tuple(self.merged(raw))
 
     def encode(self, text: str | None) -> list[int]:
-        known, out = self.memo.get, []
-        extend = out.extend
-        for token in self.split(text or ""):
-            extend(known(token) or self.pretoken(token))
-        return out
+        tokens = self.split(text or "")
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        return list(chain.from_iterable(map(self.memo.__getitem__, tokens)))
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}

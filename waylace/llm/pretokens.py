@@ -32,3 +32,15 @@ def splitter(pattern: str = BYTE_LEVEL_PATTERN) -> Callable[[str], list[str]]:
         return general(text) if any(c in text for c in _SEPARATORS) else latin(text)
 
     return split
+
+
+class Memo(dict):
+    """Values of a function by key; a key that is missing is computed and kept."""
+
+    def __init__(self, compute: Callable[[str], object]):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: str) -> object:
+        value = self[key] = self.compute(key)
+        return value

@@ -29,7 +29,9 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -39,14 +41,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waylace.llm.arrow import ROWS
-from waylace.llm.pretokens import splitter
+from waylace.llm.pretokens import Memo, splitter
 from waylace.plans.scratch import scratch_path
 
 END_ID = 0
 #: Pre-tokens that a worker process remembers.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 #: Aimed at: text bytes for each file.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 32 << 20
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<BqB")
 _CHECK = struct.Struct("<I")
@@ -98,13 +100,20 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_alphabet() -> dict[int, str]:
+    """How byte-level definitions spell bytes: printable ones as themselves, others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 class BatchEncoder:
     """Encodes texts with the tokenizers library; one for each worker process.
 
     Where the definition splits texts by the byte-level pattern and has no other
-    step, a pre-token's ids depend on nothing around it.  The library then
-    encodes each distinct pre-token once, and texts are put together from a
-    bounded memo.  Texts that hold an added token, and all texts under other
+    step, a pre-token's ids depend on nothing around it.  The library's model
+    then encodes each distinct pre-token once, spelled in the byte-level
+    alphabet, and texts are put together from a bounded memo.  Texts that hold an added token, and all texts under other
     definitions, go to the library whole.
     """
 
@@ -118,14 +127,20 @@ class BatchEncoder:
         spec = json.loads(definition)
         split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         plain = not any(spec.get(k) for k in ("truncation", "padding", "normalizer", "post_processor")) and not model.get("dropout")
-        self.by_pretoken = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.by_pretoken = sys.byteorder == "little" and plain and model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.split = splitter()
-        self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.alphabet = byte_alphabet()
+        self.memo = Memo(self._pretoken)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pretoken(self, token: str) -> bytes:
+        spelled = token.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
         if not self.by_pretoken:
@@ -134,11 +149,8 @@ class BatchEncoder:
         apart = iter(self._whole([t for t, w in zip(texts, whole, strict=True) if w]))
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        split = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*split).difference(self.memo))
-        self.memo.update(zip(new, self._whole(new), strict=True))
         known = self.memo.__getitem__
-        return [next(apart) if w else b"".join(map(known, tokens)) for tokens, w in zip(split, whole, strict=True)]
+        return [next(apart) if w else b"".join(map(known, self.split(t))) for t, w in zip(texts, whole, strict=True)]
 
 
 _encoders: dict[int, BatchEncoder] = {}
