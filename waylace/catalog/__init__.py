@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waylace.catalog import network, polygons, polylines, reports
+from waylace.catalog import network, polygons, polylines, reports, surfaces
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (polygons, polylines, network, reports)
+_MODULES = (polygons, polylines, network, reports, surfaces)
 
 
 def queries() -> dict[str, Query]:

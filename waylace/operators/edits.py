@@ -13,6 +13,7 @@ from waylace.functions import geometry as G
 from waylace.functions import graphs
 from waylace.operators.spatial import near_pairs
 from waylace.plans.policy import Policy
+from waylace.plans.scratch import materialize
 
 XY = ("ux", "uy", "vx", "vy")
 
@@ -243,3 +244,53 @@ def merge_chains(edges: DataFrame) -> DataFrame:
     merged = rows.groupBy("chain", "start", "finish").agg(*columns).withColumnsRenamed({"chain": "edge_id", "start": "u", "finish": "v"})
     rings = edges.join(chains.select("edge_id"), "edge_id", "left_anti").withColumn("parts", F.lit(1).cast("long"))
     return merged.unionByName(rings.select(*merged.columns))
+
+
+def split_parallels(edges: DataFrame, policy: Policy) -> DataFrame:
+    """``edges`` (with ``geom``) where of each near and parallel pair the later edge is shifted to its left, once.
+
+    Directions run from the smaller to the larger node, so the side does not
+    depend on how an edge was entered.
+    """
+    pairs = parallel_pairs(edges, policy.lane_width * policy.parallel_distance_factor, policy.parallel_angle)
+    later = pairs.select(F.col("j").alias("edge_id")).distinct().withColumn("_moved", F.lit(True))
+    sign = F.when(F.col("u") <= F.col("v"), 1.0).otherwise(-1.0)
+    nx, ny = G.left_normal((F.col("vx") - F.col("ux")) * sign, (F.col("vy") - F.col("uy")) * sign)
+    by = policy.parallel_offset_factor * policy.lane_width
+    rows = edges.join(later, "edge_id", "left")
+    return rows.withColumn("geom", F.when(F.col("_moved"), G.translate(F.col("geom"), nx * by, ny * by)).otherwise(F.col("geom"))).drop("_moved")
+
+
+def contract_bridges(edges: DataFrame, max_length: float = 1.5, max_angle: float = 15.0, max_rounds: int = 50) -> DataFrame:
+    """``edges`` with short bridges between junctions contracted to their midpoint.
+
+    In each round the bridges that come first at both of their ends (by length,
+    then ``edge_id``) and are not guarded are contracted together; the merged
+    node takes the smaller name and the rounded midpoint.  Edges between merged
+    nodes go.
+    """
+    current = edges
+    for _ in range(max_rounds):
+        ready = materialize(guarded_bridges(current, max_length, max_angle).where("not preserve").select("edge_id", "u", "v", *XY, "weight"), "bridges")
+        if ready.isEmpty():
+            break
+        order = F.struct("weight", "edge_id")
+        first = ready.select(F.explode(F.array("u", "v")).alias("n"), order.alias("o")).groupBy("n").agg(F.min("o").alias("o"))
+        at_u, at_v = first.select(F.col("n").alias("u"), F.col("o").alias("ou")), first.select(F.col("n").alias("v"), F.col("o").alias("ov"))
+        chosen = ready.join(at_u, "u").join(at_v, "v").where((F.col("ou") == order) & (F.col("ov") == order))
+        mid = lambda c: G.snapped((F.col(f"u{c}") + F.col(f"v{c}")) / 2)
+        moves = materialize(
+            chosen.select("edge_id", F.explode(F.array("u", "v")).alias("n"), F.least("u", "v").alias("to"), mid("x").alias("x"), mid("y").alias("y")), "moves"
+        )
+        kept = current.join(moves.select("edge_id").distinct(), "edge_id", "left_anti")
+        for end in "uv":
+            m = moves.select(F.col("n").alias(end), "to", "x", "y")
+            kept = kept.join(m, end, "left").withColumns({end: F.coalesce("to", end), f"{end}x": F.coalesce("x", f"{end}x"), f"{end}y": F.coalesce("y", f"{end}y")}).drop("to", "x", "y")
+        kept = kept.where("u <> v")
+        length = G.distance(F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
+        if "geom" in edges.columns:
+            ends = G.with_ends(F.col("geom"), G.point(F.element_at("geom", 1)["x"], F.element_at("geom", 1)["y"]), F.element_at("geom", -1), G.point(F.col("ux"), F.col("uy")), G.point(F.col("vx"), F.col("vy")))
+            kept = kept.withColumn("geom", ends)
+            length = G.line_length(F.col("geom"))
+        current = materialize(kept.withColumn("weight", length).select(*edges.columns), "contracted")
+    return current

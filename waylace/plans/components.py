@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from waylace.plans.scratch import discard, materialize
 
 
-def _minima(edges: DataFrame, tag: str) -> DataFrame:
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")), tag)
+#: Up to so many edges a round is one plan; beyond, minima are written first, so that joins with them can split hot nodes.
+ONE_PLAN_EDGES = 100_000
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _minima(edges: DataFrame, tag: str, few: bool) -> DataFrame:
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return low if few else materialize(low, tag)
+
+
+def _large_star(edges: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _minima(both, "cc-large")
+    low = _minima(both, "cc-large", few)
     out = (
         both.where("v > u")
         .join(low, "u")
@@ -34,8 +39,8 @@ def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.select(F.col("a").alias("u"), F.col("b").alias("v")), low
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    low = _minima(edges, "cc-small")
+def _small_star(edges: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    low = _minima(edges, "cc-small", few)
     joined = edges.join(low, "u")
     out = (
         joined.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -69,10 +74,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        starred, low1 = _large_star(current)
-        large = materialize(starred, "cc-round")
-        discard(low1)
-        starred, low2 = _small_star(large)
+        few = mark[0] <= ONE_PLAN_EDGES
+        large, low1 = _large_star(current, few)
+        if not few:
+            large = materialize(large, "cc-round")
+            discard(low1)
+        starred, low2 = _small_star(large, few)
         small = materialize(starred, "cc-round")
         discard(low2)
         discard(large)
