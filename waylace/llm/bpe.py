@@ -21,7 +21,7 @@ import base64
 import hashlib
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -35,46 +35,64 @@ from waylace.llm.pretokens import Memo, splitter
 #: Pre-tokens that a worker process remembers; the memo is emptied between texts.
 MEMO_ENTRIES = 500_000
 _BUCKET = 4
+_SEEDS = 64
+_TRIALS = 2_000_000
+#: A prime, so that its multiples visit every pair.
+_SCATTER = 2_654_435_761
 _DEAD = -1
 
 
 class PerfectHash:
-    """Minimal perfect hash from the keys to ``range(len(keys))`` places."""
+    """Minimal perfect hash from the keys to ``range(len(keys))`` places.
+
+    A bucket's keys move together: place = first + turn * step + extra, modulo
+    the number of keys.  Pairs (turn, extra) are tried in a fixed scattered order
+    that reaches all of them; should none fit (two keys of one bucket that hash
+    alike), everything is hashed again with another seed.
+    """
 
     def __init__(self, keys: list[bytes]):
-        n = len(keys)
-        self.n, self.buckets = n, max(1, -(-n // _BUCKET))
+        self.n, self.buckets = max(1, len(keys)), max(1, -(-len(keys) // _BUCKET))
+        for self.seed in range(_SEEDS):
+            if self._build(keys):
+                return
+        raise ValueError("keys repeat")
+
+    def _build(self, keys: list[bytes]) -> bool:
+        n = self.n
         groups: list[list[tuple[int, int, int]]] = [[] for _ in range(self.buckets)]
         for i, key in enumerate(keys):
             b, first, step = self._hash(key)
             groups[b].append((first, step, i))
         taken = bytearray(n)
-        self.shift = [0] * self.buckets  # two displacements in one number, by divmod with n
-        self.place = np.zeros(n, dtype=np.int64)
+        self.shift = [0] * self.buckets  # turn and extra in one number, by divmod with n
+        self.place = np.zeros(len(keys), dtype=np.int64)
         free = None
         for b in sorted(range(self.buckets), key=lambda x: -len(groups[x])):
             group = groups[b]
-            if len(group) == 1:  # comes last: any free place will do
-                if free is None:
-                    free = iter([p for p in range(n) if not taken[p]])
+            if not group:
+                break
+            if len(group) == 1:  # these come last: any free place will do
+                free = free or iter([p for p in range(n) if not taken[p]])
                 spot = next(free)
                 first, _, i = group[0]
                 self.shift[b], self.place[i] = (spot - first) % n, spot
                 continue
-            if not group:
-                break
-            for turn in count():
-                extra = turn * turn % n
+            for trial in range(min(n * n, _TRIALS)):
+                turn, extra = divmod(trial * _SCATTER % (n * n), n)
                 at = [(first + turn * step + extra) % n for first, step, _ in group]
                 if len(set(at)) == len(at) and not any(taken[p] for p in at):
                     break
+            else:
+                return False
             self.shift[b] = turn * n + extra
             for p, (_, _, i) in zip(at, group, strict=True):
                 taken[p] = 1
                 self.place[i] = p
+        return True
 
     def _hash(self, key: bytes) -> tuple[int, int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
         return (h & 0xFFFFFFFF) % self.buckets, (h >> 32 & 0xFFFFFFFF) % self.n, h >> 64 & 0xFFFFFFFF
 
     def at(self, key: bytes) -> int:
