@@ -135,3 +135,15 @@ def test_many_rules_are_joined(pages):
 
 def test_empty(pages):
     assert url_filter.url_verdicts(pages.where("false")).count() == 0
+
+
+def test_sql_says_the_same(pages, tmp_path):
+    import duckdb
+
+    from waylace.llm.queries import oracle_sql
+
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    rows = con.sql(f"select {', '.join(COLUMNS)} from ({oracle_sql()['op10_url_filter']})").fetchall()
+    assert sorted(map(tuple, rows), key=repr) == brute(PAGES, LINKS)
