@@ -97,6 +97,16 @@ def eval_gates(spark, sf_dir):
     return row.select("max_components", "min_leaf_count", "max_branch_count", "max_length_change_rate", "max_outside_ratio", "parallel_pair_required", "passed")
 
 
+def validation_errors(spark, sf_dir):
+    return Q.validate(_edges(spark, sf_dir), derived.polys(spark, sf_dir))
+
+
+def scan_guard(spark, sf_dir):
+    """Which parts of the report there are with a cap of twenty thousand edges."""
+    parts = Q.report(_edges(spark, sf_dir), derived.polys(spark, sf_dir), 20_000)
+    return spark.createDataFrame([(name,) for name in sorted(parts)], "part string")
+
+
 def stage_counts(spark, sf_dir):
     """Rows before and after the filter of each early stage, as the stage sink writes them."""
     net, edges = derived.net(spark, sf_dir), _edges(spark, sf_dir)
@@ -157,6 +167,11 @@ QUERIES = {
         + """, g AS (SELECT component_count <= 20 AS max_components, leaf_count >= 10 AS min_leaf_count, branch_count <= 100 AS max_branch_count, length_change_rate <= 1.0 AS max_length_change_rate, outside_ratio <= 0.9 AS max_outside_ratio, parallel_pair_found AS parallel_pair_required FROM met)
             SELECT *, max_components AND min_leaf_count AND max_branch_count AND max_length_change_rate AND max_outside_ratio AND parallel_pair_required AS passed FROM g""",
     ),
+    "validation_errors": (validation_errors, None),
+    "scan_guard": (
+        scan_guard,
+        with_tables("net", "edges") + """ SELECT part FROM (VALUES ('graph', false), ('lengths', false), ('boundary', true), ('near', true), ('risks', true)) AS p(part, capped), (SELECT count(*) AS n FROM edges) WHERE n > 0 AND (NOT capped OR n <= 20000)""",
+    ),
     "stage_counts": (
         stage_counts,
         with_tables("net", "edges") + """ SELECT stage, n, '{"stage":"' || stage || '","n":' || n || '}' AS meta FROM (SELECT '00_input' AS stage, count(*) AS n FROM net UNION ALL SELECT '01_graph_build', count(*) FROM edges)""",

@@ -13,6 +13,7 @@ from waylace.operators import edits, nearest
 from waylace.operators.selection import covered_points, sample_count
 from waylace.operators.spatial import near_pairs
 from waylace.plans.components import connected_components
+from waylace.plans.scratch import materialize
 
 SAMPLES = 5
 RISK_DISTANCE = 0.25
@@ -157,3 +158,31 @@ def box_dissolve_perimeter(boxes: DataFrame) -> DataFrame:
     shared = near_pairs(side("a_"), side("b_"), box("a_"), box("b_"), 0.0, 64.0, F.col("a_id") < F.col("b_id")).agg(F.coalesce(F.sum(G.box_shared_boundary("a_", "b_")), F.lit(0.0)).alias("shared"))
     whole = boxes.agg(F.coalesce(F.sum(2 * (F.col("w") + F.col("h"))), F.lit(0.0)).alias("whole"))
     return whole.crossJoin(shared).select((F.col("whole") - 2 * F.col("shared")).alias("perimeter"))  # two single rows
+
+
+def report(edges: DataFrame, boxes: DataFrame, scan_cap: int | None = None) -> dict[str, DataFrame]:
+    """All diagnostics by name: ``graph``, ``lengths`` and, with a boundary, ``boundary``, ``near`` and ``risks``.
+
+    ``scan_cap`` leaves the boundary part out for larger networks; by default
+    there is no cap.  No edges give no tables.
+    """
+    n = edges.count()
+    if not n:
+        return {}
+    out = {"graph": graph_summary(edges), "lengths": describe(edges, "weight")}
+    if boxes.isEmpty() or scan_cap is not None and n > scan_cap:
+        return out
+    diagnostics = materialize(edge_diagnostics(edges, boxes), "diagnostics")
+    return out | {"boundary": describe(diagnostics, "min_bd_m"), "near": near_counts(diagnostics), "risks": risk_report(diagnostics)}
+
+
+MOST_ERRORS = 5
+MOST_TERMINAL_ERRORS = 3
+
+
+def validate(edges: DataFrame, boxes: DataFrame, tolerance: float = TOUCH_TOLERANCE) -> DataFrame:
+    """``(check, detail)``: at most five errors, of which at most three are terminals off the boundary; none if all is well."""
+    whole = connectivity(edges).where("components > 1").select(F.lit("connectivity").alias("check"), F.concat("components", F.lit(" components, largest "), "largest").alias("detail"))
+    ends = first_errors(open_terminals(edges, boxes, tolerance), ["n"], MOST_TERMINAL_ERRORS)
+    off = ends.select(F.lit("terminal").alias("check"), F.concat(F.lit("node "), F.col("n").cast("string"), F.lit(" is "), F.round("dist", 3), F.lit(" m off")).alias("detail"))
+    return whole.unionByName(off).orderBy("check", "detail").limit(MOST_ERRORS)

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,6 +44,7 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
+    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._waylace_path = path
     return out
@@ -53,6 +55,14 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "_waylace_path", None)
     if path:
         remove_path(df.sparkSession, path)
+        _written.discard(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that this process still keeps; frames that read them are then of no use."""
+    for path in list(_written):
+        remove_path(spark, path)
+        _written.discard(path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
