@@ -69,7 +69,7 @@ def axis_similarity(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 def point_segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     dx, dy = bx - ax, by - ay
     t = F.coalesce(clamp(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), 0, 1), F.lit(0.0))
-    return distance(px, py, ax + t * dx, ay + t * dy)
+    return F.hypot(px - ax - t * dx, py - ay - t * dy)  # names t twice where the sum of squares would four times
 
 
 def crosses(ax, ay, bx, by, cx, cy, dx, dy) -> Column:

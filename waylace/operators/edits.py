@@ -6,6 +6,8 @@ course have ``geom`` as well.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,19 @@ def edge_box(p: str = "") -> tuple[Column, Column, Column, Column]:
 
 
 def _side(edges: DataFrame, p: str) -> DataFrame:
-    return edges.select(*[F.col(c).alias(f"{p}{c}") for c in ("edge_id", "u", "v", *XY)])
+    hx, hy = G.unit(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
+    return edges.select(*[F.col(c).alias(f"{p}{c}") for c in ("edge_id", "u", "v", *XY)], hx.alias(f"{p}hx"), hy.alias(f"{p}hy"))
+
+
+def edge_pairs(edges: DataFrame, reach: float, cell: float = 8.0, also: Column | None = None) -> DataFrame:
+    """Pairs of edges ``a_edge_id < b_edge_id`` whose boxes come within ``reach``, with unit directions ``hx, hy`` of both."""
+    first = F.col("a_edge_id") < F.col("b_edge_id")
+    return near_pairs(_side(edges, "a_"), _side(edges, "b_"), edge_box("a_"), edge_box("b_"), reach, cell, first if also is None else first & also)
 
 
-def edge_pairs(edges: DataFrame, reach: float, cell: float = 16.0) -> DataFrame:
-    """Pairs of edges ``a_edge_id < b_edge_id`` whose boxes come within ``reach``."""
-    return near_pairs(_side(edges, "a_"), _side(edges, "b_"), edge_box("a_"), edge_box("b_"), reach, cell, F.col("a_edge_id") < F.col("b_edge_id"))
+def _alike(max_angle: float) -> Column:
+    """A cheap test that leaves all pairs of edges within an angle, and hardly any others."""
+    return F.abs(F.col("a_hx") * F.col("b_hx") + F.col("a_hy") * F.col("b_hy")) >= math.cos(math.radians(max_angle)) - 1e-9
 
 
 def _apart(p: str = "a_", q: str = "b_") -> Column:
@@ -42,15 +51,15 @@ def _direction(p: str) -> tuple[Column, Column]:
 
 def parallel_pairs(edges: DataFrame, max_distance: float, max_angle: float) -> DataFrame:
     """``(i, j, distance, angle)`` of near edges that run alike; edges with a common end have distance 0."""
-    pairs = edge_pairs(edges, max_distance)
-    angle = G.undirected_angle(*G.unit(*_direction("a_")), *G.unit(*_direction("b_")))
+    pairs = edge_pairs(edges, max_distance, also=_alike(max_angle))
+    angle = G.undirected_angle(F.col("a_hx"), F.col("a_hy"), F.col("b_hx"), F.col("b_hy"))
     rows = pairs.select(F.col("a_edge_id").alias("i"), F.col("b_edge_id").alias("j"), _apart().alias("distance"), angle.alias("angle"))
-    return rows.where((F.col("distance") <= max_distance) & (F.col("angle") <= max_angle))
+    return rows.where((F.col("angle") <= max_angle) & (F.col("distance") <= max_distance))
 
 
 def has_parallel_pair(edges: DataFrame, max_distance: float, max_angle: float) -> DataFrame:
     """One row ``found``: whether any pair is near and folded to within the angle; edges of no length never are."""
-    pairs = edge_pairs(edges, max_distance)
+    pairs = edge_pairs(edges, max_distance, also=_alike(max_angle))
     near = (G.folded_angle(*_direction("a_"), *_direction("b_")) <= max_angle) & (_apart() <= max_distance)
     return pairs.where(near).limit(1).agg((F.count("*") > 0).alias("found"))
 
