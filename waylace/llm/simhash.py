@@ -234,7 +234,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null ids come last; of rows that share that id, one stays.
     """
     rows, classes = _classified(docs, id_col, text_col, width)
-    counted = rows.groupBy("doc_id", "tie", "fp").agg(F.count("*").alias("n")).join(classes.select("fp", "root"), "fp")
+    return first_of_each(docs, rows, classes, "fp", id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """The first row of ``docs`` for each ``root`` of ``classes`` (by ``key``); ``rows`` has ``doc_id, tie`` and ``key`` for each."""
+    counted = rows.groupBy("doc_id", "tie", key).agg(F.count("*").alias("n")).join(classes.select(key, "root"), key)
     first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "n")).alias("first"))
     stay = materialize(first.select(F.col("first.doc_id").alias("_wl_id"), F.col("first.tie").alias("_wl_tie"), F.col("first.n").alias("_wl_n")), "stay")
     keyed = docs.withColumn("_wl_key", F.xxhash64(F.col(text_col)))
