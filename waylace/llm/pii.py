@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, then candidates judged by boosted trees.
 
-Generators with high recall propose spans that may overlap: digit groups in
-any layout, addresses with spelled-out signs, colon groups.  Boosted trees
+Generators with high recall propose spans that may overlap: all
+sub-runs of digit groups in any layout, addresses with spelled-out signs, colon groups.  Boosted trees
 score each proposal by its format (groups, signs, checksum) and its context
 (words before it, neighbouring characters); those that reach their kind's
 calibrated threshold are added, best first, where they overlap no base span and
@@ -54,7 +54,8 @@ _AT = re.compile(r"\x20?[(\[{<]\x20?(?:at|AT)\x20?[)\]}>]\x20?|\x20(?:at|AT)\x20
 _NAME_END = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
 _HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\x20?[(\[{<]\x20?(?:dot|DOT)\x20?[)\]}>]\x20?|\x20(?:dot|DOT)\x20|\.)[A-Za-z0-9-]{1,63}){1,4}")
 _SPELLED_DOT = re.compile(r"[(\[{<]\x20?dot|\x20dot\x20", re.IGNORECASE)
-_GROUPS = re.compile(r"[(]?[0-9]+(?:[)]?[\x20./-]{0,2}[(]?[0-9]+){1,7}")
+_GROUP = re.compile(r"[0-9]+")
+_GAP = re.compile(r"[)]?[\x20./-]{0,2}[(]?")
 _COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
 
 #: Words that go before a kind, by kind; fixed values.
@@ -99,6 +100,25 @@ def _part_fits(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+def _number_spans(text: str) -> list[Span]:
+    """Every sub-run of consecutive digit groups with the digits of a phone or card number."""
+    out: list[Span] = []
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for i, (first, _) in enumerate(groups):
+        start = first - (text[first - 1 : first] == "(")
+        n = 0
+        for j in range(i, len(groups)):
+            a, b = groups[j]
+            n += b - a
+            if n > 19 or (j > i and not _GAP.fullmatch(text, groups[j - 1][1], a)):
+                break
+            if 7 <= n <= 15:
+                out.append(("phone", start, b))
+            if 13 <= n <= 19:
+                out.append(("card", start, b))
+    return out
+
+
 def candidates(text: str) -> list[Span]:
     """Proposals of all generators; they may overlap."""
     out: list[Span] = []
@@ -111,12 +131,7 @@ def candidates(text: str) -> list[Span]:
             if name is not None:
                 out.append(("email", name.start(), host.end()))
     if _DIGITS.search(text):
-        for m in _GROUPS.finditer(text):
-            n = len(_NOT_DIGITS.sub("", m[0]))
-            if 7 <= n <= 15:
-                out.append(("phone", *m.span()))
-            if 13 <= n <= 19:
-                out.append(("card", *m.span()))
+        out += _number_spans(text)
     if ":" in text:
         out += [("ip", *m.span()) for m in _COLONS.finditer(text)]
     return out
@@ -213,6 +228,13 @@ def _write_other(r: random.Random) -> str:
     )
 
 
+def _write_neighbour(r: random.Random, kind: str) -> tuple[str, bool]:
+    """What may follow a number, and whether it is of the kind itself."""
+    other = _write_phone(r) if kind == "phone" else _write_card(r)
+    day = f"{r.randint(1900, 2100)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+    return r.choice([(other, True), (day, False), (f"{r.randint(1, 12):02}/{r.randint(20, 39)}", False), (str(r.randint(1, 99)), False)])
+
+
 def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and kinds of proposals in ``2 * n`` written sentences."""
     r = random.Random(seed)
@@ -228,8 +250,14 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
         head = " ".join(r.choice(filler) for _ in range(4))
         start = f"{head} {cue} "
         text = f"{start}{body}{r.choice([' ', ', ', '. ', chr(10)])}{' '.join(r.choice(filler) for _ in range(4))}"
+        true = {(kind, len(start), len(start) + len(body))} if good else set()
+        if kind in ("phone", "card") and r.random() < 0.4:
+            beside, own = _write_neighbour(r, kind)
+            at = len(start) + len(body) + 1
+            text = f"{start}{body} {beside}{text[at - 1 :]}"
+            true |= {(kind, at, at + len(beside))} if own else set()
         for span in candidates(text):
-            exact = good and span == (kind, len(start), len(start) + len(body))
+            exact = span in true
             xs.append(features(text, span))
             ys.append(float(exact))
             kinds.append(KINDS.index(span[0]))
