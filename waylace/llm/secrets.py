@@ -39,7 +39,11 @@ _MIN_ASSIGN, _MIN_ACCESS = 12, 18
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _UPPER_HEX = re.compile(r"[0-9A-Fa-f]{80,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
+_ESCAPED = re.compile(r"\\+[nrt]|\s")
+#: Lines of base64, joined by line ends or their escapes; an escape's letter begins none.
+_LINES = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nr]))[A-Za-z0-9+/_-]{40,}(?:[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*[A-Za-z0-9+/_-]+)+")
+_LINE = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nr]))[A-Za-z0-9+/_-]+")
 _SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
 _MAGIC = b"openssh-key-v1\0"
 
@@ -105,7 +109,58 @@ def is_private_key(data: bytes) -> bool:
         return bool(algorithm) and algorithm[0][0] == 0x06
     if tags[1] == 0x04:  # SEC1
         return inner[1][2] - inner[1][1] >= 16
-    return len(tags) >= 9 and set(tags[:9]) == {0x02}  # PKCS#1
+    return (len(tags) >= 9 or len(tags) == 6) and set(tags[:9]) == {0x02}  # PKCS#1, or the six numbers of DSA
+
+
+def _key_size(data: bytes) -> int | None:
+    """Bytes of the private key that may begin ``data``, by its own lengths; None if there is none."""
+    if data.startswith(_MAGIC):
+        at, left = len(_MAGIC), 3  # cipher, derivation, its options
+        while left:
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            left -= 1
+            if at + 4 > len(data):
+                return None
+        left = int.from_bytes(data[at : at + 4], "big") + 1  # public keys, then the private part
+        at += 4
+        while left:
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            left -= 1
+        return at
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    if width > 4:
+        return None
+    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+
+
+def _wrapped_keys(text: str) -> list[Span]:
+    """Keys in base64 without armour whose lines end where their own lengths say."""
+    out: list[Span] = []
+    for m in _LINES.finditer(text):
+        lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        for i, (a, b) in enumerate(lines):
+            if b - a < 40 or out and a < out[-1][2]:
+                continue
+            head = _unbase64(text[a : a + 24])
+            if not head or head[0] != 0x30 and not head.startswith(_MAGIC):
+                continue
+            whole = "".join(text[x:y] for x, y in lines[i:]) if head[0] != 0x30 else text[a : a + 24]
+            size = _key_size(_unbase64(whole[: len(whole) // 4 * 4]) or b"")
+            if size is None:
+                continue
+            chars, n = (8 * size + 5) // 6, 0
+            for k in range(i, len(lines)):
+                n += lines[k][1] - lines[k][0]
+                if n >= chars:
+                    break
+            if n == chars and is_private_key(_unbase64("".join(text[x:y] for x, y in lines[i : k + 1])) or b""):
+                end = lines[k][1]
+                out.append(("key", a, end + min(2, len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")))))
+    return out
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -136,11 +191,12 @@ def confirmed_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            data = _unbase64("".join(m[2].split()))
+            data = _unbase64(_ESCAPED.sub("", m[2]))
             if data is not None and (is_private_key(data) or m[1].startswith("ENCRYPTED") and _der(data)):
                 out.append(("key", *m.span()))
     if "eyJ" in text:
         out += [("token", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m[1], m[2], m[3])]
+    out += [s for s in _wrapped_keys(text) if all(s[2] <= a or b <= s[1] for _, a, b in out)]
     for m in _RUN.finditer(text):
         if any(a <= m.start() < b for _, a, b in out):
             continue
