@@ -270,7 +270,7 @@ def split_parallels(edges: DataFrame, policy: Policy) -> DataFrame:
     return rows.withColumn("geom", F.when(F.col("_moved"), G.translate(F.col("geom"), nx * by, ny * by)).otherwise(F.col("geom"))).drop("_moved")
 
 
-def contract_bridges(edges: DataFrame, max_length: float = 1.5, max_angle: float = 15.0, max_rounds: int = 50) -> DataFrame:
+def contract_bridges(edges: DataFrame, max_length: float = 1.5, max_angle: float = 15.0) -> DataFrame:
     """``edges`` with short bridges between junctions contracted to their midpoint.
 
     In each round the bridges that come first at both of their ends (by length,
@@ -279,7 +279,7 @@ def contract_bridges(edges: DataFrame, max_length: float = 1.5, max_angle: float
     nodes go.
     """
     current = edges
-    for _ in range(max_rounds):
+    while True:  # each round contracts at least the first of all bridges
         ready = materialize(guarded_bridges(current, max_length, max_angle).where("not preserve").select("edge_id", "u", "v", *XY, "weight"), "bridges")
         if ready.isEmpty():
             break
