@@ -128,11 +128,7 @@ def near_values(r, centres, n):
     return sorted(out)
 
 
-def test_links_join_exactly_the_near_ones(spark):
-    r = random.Random(5)
-    fps = near_values(r, [r.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1], 900)
-    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    links = [(x["u"] & (1 << 64) - 1, x["v"] & (1 << 64) - 1) for x in simhash.near_links(df).collect()]
+def link_classes(links, fps):
     root = {f: f for f in fps}
 
     def find(f):
@@ -140,36 +136,45 @@ def test_links_join_exactly_the_near_ones(spark):
             f = root[f]
         return f
 
-    for a, b in links:
-        root[find(a)] = find(b)
-    ids = list(range(len(fps)))
-    want = brute_components(fps, ids)
+    for x in links:
+        root[find(x["u"] & (1 << 64) - 1)] = find(x["v"] & (1 << 64) - 1)
     first = {}
-    got = [first.setdefault(find(f), i) for i, f in enumerate(fps)]
-    assert got == want
+    return [first.setdefault(find(f), i) for i, f in enumerate(fps)]
+
+
+def test_links_join_exactly_the_near_ones(spark):
+    r = random.Random(5)
+    fps = near_values(r, [r.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1], 900)
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    assert link_classes(simhash.near_links(df).collect(), fps) == brute_components(fps, list(range(len(fps))))
 
 
-def test_masked_join_equals_walk():
+def test_long_lists_are_dealt_again(spark):
     r = random.Random(9)
-    free = 0xFFFFFF
-    values = np.array(sorted({r.getrandbits(24) & 0x0F0F0F for _ in range(700)} | {r.getrandbits(24) for _ in range(200)}), dtype=np.uint64)
+    hot = [0x123400005678 << 16 | r.getrandbits(16) ^ r.getrandbits(16) << 32 for _ in range(500)]
+    fps = sorted(set(hot) | {f ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) for f in hot[:100]} | set(near_values(r, [5 << 50, 1 << 63], 100)))
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    assert link_classes(simhash.near_links(df, walked=64).collect(), fps) == brute_components(fps, list(range(len(fps))))
 
-    def classes(links):
-        root = {int(v): int(v) for v in values}
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
+def test_any_five_positions_hold_one_choice():
+    masks = simhash.position_masks()
+    assert len(masks) == 14 and {m.bit_count() for m in masks} == {32}
+    for five in combinations(range(8), simhash.MIN_SHARED):
+        whole = sum(0xFF << 8 * p for p in five)
+        assert sum(m & whole == m for m in masks) == 1
+    finer = simhash.finer_masks(masks[0])
+    assert all(f & masks[0] == masks[0] for f in finer) and sum(f ^ masks[0] for f in finer) == masks[0] ^ (1 << 64) - 1
 
-        for a, b in links:
-            root[find(b)] = find(a)
-        groups = defaultdict(set)
-        for v in root:
-            groups[find(v)].add(v)
-        return sorted(map(sorted, groups.values()))
 
-    assert classes(simhash._walk(values)) == classes(simhash._join_masked(values, free))
+def test_tally_rejects_pairs_that_share_the_posted_bytes_alone():
+    value = 0x0101010101010101
+    mask = simhash.position_masks()[0]
+    spread = [8 * p for p in range(8) if not mask >> 8 * p & 1]
+    far = value ^ sum(1 << b for b in spread)  # four bytes differ, by a bit each
+    near = value ^ sum(1 << b for b in spread[:3])
+    two = np.array([far, near], dtype=np.uint64)
+    assert simhash._near(two, np.uint64(value)).tolist() == [False, True]
 
 
 def test_pair_at_three_bits_links_and_four_does_not(spark):
@@ -183,9 +188,32 @@ def test_batches_split_a_posting_list():
     import pyarrow as pa
 
     fps = sorted({0b111 << k for k in range(8)} | {0})
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(fps), pa.int32()), pa.array([0] * len(fps), pa.int64()), pa.array(fps, pa.int64())], names=["c", "k", "f"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(fps), pa.int64()), pa.array([0] * len(fps), pa.int64()), pa.array(fps, pa.int64())], names=["m", "k", "f"])
     whole = [r for b in simhash._posting_links(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     parts = [r for b in simhash._posting_links(batch.slice(i, 2) for i in range(0, len(fps), 2)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert whole == parts and whole
 
 
+
+
+def test_batches_split_a_list_that_is_dealt_again():
+    import pyarrow as pa
+
+    fps = list(range(40))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 45, pa.int64()), pa.array([0] * 40 + [1] * 5, pa.int64()), pa.array([*fps, 1, 2, 3, 64, 65], pa.int64())], names=["m", "k", "f"])
+    for step in (2, 7, 45):
+        out = [r for b in simhash._posting_links((batch.slice(i, step) for i in range(0, 45, step)), walked=16) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(u for m, u, v in out if m is not None) == fps and {m for m, *_ in out} == {1, None}
+        assert {x for m, *pair in out if m is None for x in pair} == {1, 2, 3, 64, 65}
+
+
+def test_internal_names_may_be_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6, 7, 8), (2, "a b c d", 1, 2, 3, 4)], "doc_id long, text string, _wl_key int, row int, own_id int, n int")
+    for out, kept in ((exact_dedup.drop_exact_duplicates(df), 2), (simhash.keep_one_of_each(df), 1)):
+        assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [tuple(r) for r in df.where(f"doc_id = {kept}").collect()]
+
+
+def test_buckets_follow_the_bytes():
+    assert exact_dedup._buckets(0) == exact_dedup.LEAST_BUCKETS
+    assert exact_dedup._buckets(10**12) == 10**12 // exact_dedup.BUCKET_BYTES
+    assert exact_dedup._buckets(10**18) == exact_dedup.MOST_BUCKETS <= 1 << 62 - exact_dedup._RANK_BITS

@@ -31,7 +31,13 @@ from waylace.plans.scratch import discard, materialize
 BLOCK_BYTES = 16_384
 HOT_SHARE = 1_024
 HOT_LEAST = 64
+#: Bytes of blocks or pairs that are sorted together.
+BUCKET_BYTES = 4 << 20
+LEAST_BUCKETS = 4_096
+#: As many as the bits of a name leave; 100 TB give 24 MB to each.
+MOST_BUCKETS = 1 << 22
 _RANK_BITS = 40
+_PAIR_BYTES = 32
 
 
 def _text(col: str) -> Column:
@@ -57,22 +63,22 @@ def _ranked(rows: DataFrame, spread: Column, order: list[str], buckets: int) ->
     return rows.withColumn("bucket", F.pmod(spread, F.lit(buckets))).withColumn("name", F.shiftleft("bucket", _RANK_BITS) + F.dense_rank().over(window)).drop("bucket")
 
 
-def _buckets(docs: DataFrame) -> int:
-    spark = docs.sparkSession
-    return 64 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def _buckets(n_bytes: int) -> int:
+    """Buckets of about ``BUCKET_BYTES``, so that none outgrows a task whatever the size."""
+    return min(max(n_bytes // BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS)
 
 
 def _name_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """One row per block with its name."""
     blocks = _blocks(docs, id_col, text_col, block_bytes)
     hashed = _hash_only(docs, text_col, block_bytes)
-    counts = materialize(hashed.groupBy("h").agg(F.count("*").alias("n")), "block-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = materialize(hashed.groupBy("h").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "block-counts")
+    total, n_bytes = (x or 0 for x in counts.agg(F.sum("n"), F.sum("bytes")).first())
     share = max(HOT_LEAST, total // HOT_SHARE + 1)
     hot = [r["h"] for r in counts.where(F.col("n") >= share).select("h").collect()]  # fewer than HOT_SHARE
     discard(counts)
     keyed = blocks.withColumn("h", F.xxhash64("block"))
-    buckets = _buckets(docs)
+    buckets = _buckets(n_bytes)
     columns = ["doc_id", "sha", "n_blocks", "seq", "name"]
     if not hot:
         return _ranked(keyed, F.col("h"), ["block"], buckets).select(*columns)
@@ -87,9 +93,8 @@ def _name_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def _hash_only(docs: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
     raw = docs.select(_text(text_col).cast("binary").alias("raw"))
     last = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / block_bytes).cast("int")) - 1
-    return raw.select("raw", F.explode(F.sequence(F.lit(0), last)).alias("seq")).select(
-        F.xxhash64(F.substring("raw", F.col("seq") * block_bytes + 1, F.lit(block_bytes))).alias("h")
-    )
+    block = F.substring("raw", F.col("seq") * block_bytes + 1, F.lit(block_bytes))
+    return raw.select("raw", F.explode(F.sequence(F.lit(0), last)).alias("seq")).select(F.xxhash64(block).alias("h"), F.octet_length(block).cast("long").alias("bytes"))
 
 
 def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -106,7 +111,6 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     level = 0
     left = most
     rows = rest.select(*keys, "copies", "seq", "name", F.col("n_blocks").alias("left"))
-    buckets = _buckets(docs)
     while left > 1:
         level, left = level + 1, (left + 1) // 2
         pairs = materialize(
@@ -116,7 +120,7 @@ def document_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ),
             "pairs",
         )
-        names = materialize(_ranked(pairs.select("a", "b").distinct(), F.xxhash64("a", "b"), ["a", "b"], buckets), "pair-names")
+        names = materialize(_ranked(pairs.select("a", "b").distinct(), F.xxhash64("a", "b"), ["a", "b"], _buckets(pairs.count() * _PAIR_BYTES)), "pair-names")
         joined = materialize(
             pairs.join(names, ["a", "b"]).select(*keys, "copies", "seq", "name", F.ceil(F.col("left") / 2).cast("int").alias("left")),
             "named",
@@ -154,12 +158,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the copies; all columns stay."""
-    keep = exact_duplicates(docs, id_col, text_col, block_bytes).where("kept").select(F.col("doc_id").alias("_wl_id"), F.col("text_sha256").alias("_wl_sha"), F.col("copies").alias("_wl_copies"))
+    keep = exact_duplicates(docs, id_col, text_col, block_bytes).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "copies")
     keep = materialize(keep, "kept")
-    named = docs.withColumn("_wl_key", F.sha2(_text(text_col).cast("binary"), 256))
-    joined = named.join(keep, F.col(id_col).eqNullSafe(F.col("_wl_id")) & (F.col("_wl_key") == F.col("_wl_sha")))
-    once = joined.where("_wl_copies = 1").select(*docs.columns)
-    if keep.where("_wl_copies > 1").isEmpty():
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.sha2(_text(text_col).cast("binary"), 256).alias("own_sha"))
+    joined = packed.join(keep, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha")))
+    once = joined.where("copies = 1").select("row.*")
+    if keep.where("copies > 1").isEmpty():
         return once
-    several = joined.where("_wl_copies > 1").dropDuplicates(["_wl_id", "_wl_sha"]).select(*docs.columns)
-    return once.unionByName(several)
+    return once.unionByName(joined.where("copies > 1").dropDuplicates(["own_id", "own_sha"]).select("row.*"))

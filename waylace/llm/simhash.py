@@ -3,28 +3,33 @@
 A fingerprint has one bit per column of the shingle hashes: set if more than
 half of them have it.  Two fingerprints within three bits of each other differ
 in at most three of their eight bytes, so they share at least five positional
-bytes.  The index posts each distinct fingerprint under every choice of five
-positions with their bytes; any pair that reaches the guaranteed minimum
-therefore meets in a posting list, and unrelated fingerprints do so with odds
-of 2^-40 a list, which keeps the work in proportion to the rows.  In a list the
-shared positional bytes of a pair are tallied, pairs with fewer than five go,
-and the rest are verified bit by bit.
-
-A posting list fixes 40 bits, so it has at most 2^24 members whatever the size
-of the corpus.  It never yields all its pairs: short lists are walked from
-neighbour to neighbour, long ones are joined by masking out each choice of
-three of the 24 free bits, and either way each member is linked once to a
-member of its cluster.  Copies share a fingerprint and enter the index once.
+bytes.  A posting under one byte position would hold a 256th of all
+fingerprints; the index therefore posts each distinct fingerprint under
+fourteen choices of four positions.  They are the planes of the cube whose
+corners are the positions, and any five corners hold exactly one of them whole,
+so pairs with the guaranteed five meet, and unrelated ones do so with odds of
+2^-32 a list.  In a list the shared positional bytes of each pair are tallied:
+pairs with the list's four alone go, the rest are verified bit by bit.
+
+A list never yields all its pairs: it is walked from neighbour to neighbour,
+and each member is linked once to a member of its cluster.  A list longer than
+``WALKED`` is not held by one task: its members are posted again under the
+list's bits and each quarter of the bits that are left, one of which any two
+fingerprints within three bits have in common.  Such a list has two to the
+number of its free bits members at most, so four turns always end.
+Copies share a fingerprint and enter the index once.
 
 Defined results: null counts as an empty text; a text without words has
 fingerprint zero and is linked like any other; a component's id is its smallest
 ``doc_id`` (nulls ignored; null if it has no other); repeated rows each get
-their row; no rows give no rows; further columns are ignored.
+their row; no rows give no rows; texts of any length are read whole; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 
 from waylace.llm.arrow import map_rows
 from waylace.plans.components import connected_components
-from waylace.plans.scratch import discard, materialize
+from waylace.plans.scratch import discard, materialize, read_from
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -43,9 +48,12 @@ SEED = 42
 _BYTES = 8
 #: Fewest positional bytes that fingerprints within MAX_BITS bits can share.
 MIN_SHARED = _BYTES - MAX_BITS
-#: A posting list longer than this is joined by masks and not walked.
+#: Positions that a posting fixes.
+POSTED = 4
+#: A posting list longer than this is dealt again and not walked.
 WALKED = 4_096
 _CHUNK = 1 << 15
+_ALL = (1 << 64) - 1
 
 
 def fingerprint(raw: bytes | None, width: int = SHINGLE_WORDS) -> int:
@@ -87,13 +95,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(rows, _make_fingerprint(width), "doc_id long, tie long, fp long")
 
 
-def position_masks(shared: int = MIN_SHARED) -> list[int]:
-    """One 64-bit mask for each choice of ``shared`` of the eight byte positions."""
-    return [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(_BYTES), shared)]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def position_masks() -> list[int]:
+    """One 64-bit mask for each choice of POSTED positions whose numbers have exclusive-or zero.
+
+    Any five of the eight positions hold exactly one such choice.
+    """
+    return [sum(0xFF << (8 * p) for p in (a, b, c, d)) for a, b, c, d in combinations(range(_BYTES), POSTED) if a ^ b ^ c ^ d == 0]
+
+
+def finer_masks(mask: int) -> list[int]:
+    """``mask`` with each of MAX_BITS + 1 parts of its free bits."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in part.tolist()) for part in np.array_split(free, MAX_BITS + 1)]
 
 
-def _near(a: np.ndarray, b: np.uint64) -> np.ndarray:
-    """Of candidates ``a``, those that pass the count filter and then the check of bits."""
+def _near(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Which pairs pass the tally of shared positional bytes and then the check of bits."""
     diff = a ^ b
     shared = (diff.view(np.uint8).reshape(-1, _BYTES) == 0).sum(axis=1)
     ok = shared >= MIN_SHARED
@@ -117,109 +138,104 @@ def _walk(values: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _join_masked(values: np.ndarray, free: int) -> list[tuple[int, int]]:
-    """The same for a long list: equal after masking MAX_BITS free bits means near."""
-    bits = [np.uint64(1) << np.uint64(i) for i in range(64) if free >> i & 1]
-    masks = [sum(c, np.uint64(0)) for c in combinations(bits, MAX_BITS)]
-    label = np.arange(len(values))
-    while True:
-        before = label.copy()
-        for m in masks:
-            key = values & ~m
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            starts = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])))
-            if len(starts) == len(values):
-                continue
-            low = np.minimum.reduceat(label[order], starts)
-            label[order] = np.repeat(low, np.diff(np.append(starts, len(values))))
-        label = label[label]
-        if np.array_equal(before, label):
-            break
-    return [(int(values[r]), int(values[i])) for i, r in enumerate(label) if r != i]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
+_LINKS = pa.schema([("mask", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
-_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+def _posting_links(batches: Iterator[pa.RecordBatch], walked: int = WALKED) -> Iterator[pa.RecordBatch]:
+    """Links in each posting list of rows sorted by (mask, key, fingerprint), with null masks.
 
-def _posting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links in each posting list of rows sorted by (choice, bytes, fingerprint)."""
-    masks = position_masks()
-
-    def links_of(choice: int, fps: np.ndarray) -> list[tuple[int, int]]:
-        if len(fps) <= WALKED:
-            return _walk(fps)
-        return _join_masked(fps, ~masks[choice] & ((1 << 64) - 1))
+    Members of a list that is too long to walk come back as (mask, fingerprint, null).
+    """
 
-    def emit(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    def links(out: list[tuple[int, int]]) -> pa.RecordBatch:
         u, v = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(map(_signed, u), pa.int64()), pa.array(map(_signed, v), pa.int64())], schema=_LINKS)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(map(_signed, u), pa.int64()), pa.array(map(_signed, v), pa.int64())], schema=_LINKS)
 
-    open_choice, open_key, held = -1, 0, []
+    def again(mask: int, fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), mask)), pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64())], schema=_LINKS)
+
+    open_mask, open_key, held, too_long = 0, None, np.zeros(0, np.uint64), False
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        choice = batch.column(0).to_numpy(zero_copy_only=False)
-        key = batch.column(1).to_numpy(zero_copy_only=False)
-        fps = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-        new = np.concatenate(([True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])))
-        starts = np.flatnonzero(new)
+        mask, key, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        fps = fps.view(np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))))
         ends = np.append(starts[1:], n)
         out: list[tuple[int, int]] = []
-        if held and (choice[0], key[0]) == (open_choice, open_key):
-            held.append(fps[: ends[0]])
-            if len(starts) == 1:
-                continue
-            out += links_of(open_choice, np.concatenate(held))
-            starts, ends = starts[1:], ends[1:]
-        elif held:
-            whole = np.concatenate(held)
-            if len(whole) > 1:
-                out += links_of(open_choice, whole)
-        inner, lengths = starts[:-1], ends[:-1] - starts[:-1]
-        twos = inner[lengths == 2]
-        if len(twos):
-            diff = fps[twos] ^ fps[twos + 1]
-            shared = (diff.view(np.uint8).reshape(-1, _BYTES) == 0).sum(axis=1)
-            good = twos[(shared >= MIN_SHARED) & (np.bitwise_count(diff) <= MAX_BITS)]
-            out += zip(fps[good].tolist(), fps[good + 1].tolist(), strict=True)
-        for s, length in zip(inner[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-            out += links_of(int(choice[s]), fps[s : s + length])
-        open_choice, open_key, held = int(choice[starts[-1]]), int(key[starts[-1]]), [fps[starts[-1] :].copy()]
+        if (mask[0], key[0]) != (open_mask, open_key):
+            out += _walk(held)
+            open_mask, open_key, held, too_long = int(mask[0]), int(key[0]), np.zeros(0, np.uint64), False
+        # the first list of the batch goes on with what is held; only the last may go on in the next batch
+        held = np.concatenate([held, fps[: ends[0]]])
+        if too_long or len(held) > walked:
+            yield again(open_mask, held)
+            held, too_long = np.zeros(0, np.uint64), True
+        if len(starts) > 1:
+            out += _walk(held)
+            inner, lengths = starts[1:-1], ends[1:-1] - starts[1:-1]
+            twos = inner[lengths == 2]
+            if len(twos):
+                good = twos[_near(fps[twos], fps[twos + 1])]
+                out += zip(fps[good].tolist(), fps[good + 1].tolist(), strict=True)
+            for s, length in zip(inner[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                if length > walked:
+                    yield again(int(mask[s]), fps[s : s + length])
+                else:
+                    out += _walk(fps[s : s + length])
+            open_mask, open_key, held, too_long = int(mask[starts[-1]]), int(key[starts[-1]]), fps[starts[-1] :].copy(), False
+            if len(held) > walked:
+                yield again(open_mask, held)
+                held, too_long = np.zeros(0, np.uint64), True
         if out:
-            yield emit(out)
-    if held and len(whole := np.concatenate(held)) > 1 and (out := links_of(open_choice, whole)):
-        yield emit(out)
+            yield links(out)
+    if out := _walk(held):
+        yield links(out)
+
+
+def _dealt(posted: DataFrame, walked: int) -> DataFrame:
+    """Links of postings ``(mask, fp)`` and the members of lists that are too long."""
+    keyed = posted.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    return keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(partial(_posting_links, walked=walked), "mask long, u long, v long")
 
 
-def near_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
+def near_links(distinct: DataFrame, fp: str = "fp", walked: int = WALKED) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints that join every pair within MAX_BITS bits.
 
     One link ties each further member of a posting list's cluster to it; a pair
-    may thus be joined through others.
+    may thus be joined through others.  ``walked`` is at least 2 ** MAX_BITS, as
+    a list with fewer free bits than parts cannot be dealt again.
     """
-    masks = [m - (1 << 64) if m >> 63 else m for m in position_masks()]
-    posted = distinct.select(F.col(fp).alias("fp"), F.posexplode(F.array(*[F.col(fp).bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("choice", "key"))
-    dealt = posted.select("choice", "key", "fp").repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
-    return dealt.mapInArrow(_posting_links, "u long, v long")
+    masks = [F.lit(_signed(m)).cast("long") for m in position_masks()]
+    found = materialize(_dealt(distinct.select(F.col(fp).alias("fp"), F.explode(F.array(*masks)).alias("mask")), walked), "links")
+    tables, links = [found], found.where("mask is null").select("u", "v")
+    while coarse := [r["mask"] for r in found.where("mask is not null").select("mask").distinct().collect()]:  # few: the parts of fourteen masks
+        finer = F.element_at(F.create_map(*[x for m in coarse for x in (F.lit(m).cast("long"), F.array(*[F.lit(_signed(f)).cast("long") for f in finer_masks(m & _ALL)]))]), F.col("mask"))
+        found = materialize(_dealt(found.where("mask is not null").select(F.col("u").alias("fp"), F.explode(finer).alias("mask")), walked), "links")
+        tables.append(found)
+        links = links.unionByName(found.where("mask is null").select("u", "v"))
+    if len(tables) == 1:
+        return read_from(links, found)
+    whole = materialize(links.distinct(), "links")
+    for table in tables:
+        discard(table)
+    return whole
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
     """All rows with their fingerprints, and ``(fp, root, component_id)`` of each fingerprint."""
     rows = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    links = materialize(near_links(distinct), "links")
+    links = near_links(distinct)
     roots = connected_components(links)
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
     discard(links)
+    rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
-    return rows, materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    classes = materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    for table in (distinct, rooted, smallest):
+        discard(table)
+    return rows, classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
@@ -234,18 +250,24 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null ids come last; of rows that share that id, one stays.
     """
     rows, classes = _classified(docs, id_col, text_col, width)
-    return first_of_each(docs, rows, classes, "fp", id_col, text_col)
+    stay = first_rows(rows, classes, "fp")
+    for table in (rows, classes):
+        discard(table)
+    return picked_rows(docs, stay, id_col, text_col)
 
 
-def first_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
-    """The first row of ``docs`` for each ``root`` of ``classes`` (by ``key``); ``rows`` has ``doc_id, tie`` and ``key`` for each."""
+def first_rows(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``(id, tie, n)`` of the first row for each ``root`` of ``classes`` (by ``key``); ``rows`` has ``doc_id, tie`` and ``key`` for each."""
     counted = rows.groupBy("doc_id", "tie", key).agg(F.count("*").alias("n")).join(classes.select(key, "root"), key)
     first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "n")).alias("first"))
-    stay = materialize(first.select(F.col("first.doc_id").alias("_wl_id"), F.col("first.tie").alias("_wl_tie"), F.col("first.n").alias("_wl_n")), "stay")
-    keyed = docs.withColumn("_wl_key", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_wl_id")) & (F.col("_wl_key") == F.col("_wl_tie")))
-    once = joined.where("_wl_n = 1").select(*docs.columns)
-    if stay.where("_wl_n > 1").isEmpty():
+    return materialize(first.select(F.col("first.doc_id").alias("id"), F.col("first.tie").alias("tie"), F.col("first.n").alias("n")), "stay")
+
+
+def picked_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``stay`` (:func:`first_rows`) names, once each."""
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_tie"))
+    joined = packed.join(stay, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")))
+    once = joined.where("n = 1").select("row.*")
+    if stay.where("n > 1").isEmpty():
         return once
-    several = joined.where("_wl_n > 1").withColumn("_wl_id", F.coalesce("_wl_id", F.lit(-1))).dropDuplicates(["_wl_id", "_wl_key"]).select(*docs.columns)
-    return once.unionByName(several)
+    return once.unionByName(joined.where("n > 1").dropDuplicates(["own_id", "own_tie"]).select("row.*"))
