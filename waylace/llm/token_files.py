@@ -12,28 +12,38 @@ A file is a run of frames in ascending ``doc_id`` order::
               width (1 byte: 2 or 4), ids (unsigned little-endian, width bytes each)
 
 The mask rotates the checksum right by 15 bits and adds 0xA282EAD8, so that a
-checksum over data that holds checksums stays sound.  Files are dealt by ranges
-of ``doc_id`` and written by Spark's own writer with its commit protocol, one
-file for each shard: any shared store will do, and a lost executor's task is
-simply run again.  The ends of frames are Spark's line ends; nothing reads the
-files as text.  The index is a separate table of shard, offset, length and
-counts for each record, from which single records can be read in any order.
+checksum over data that holds checksums stays sound.  Rows are dealt by ranges
+of (``doc_id``, hash of the text, row number) that hold equal bytes of text, so
+that rows without an id and rows that repeat one spread like any others.  Each
+range is one task and one file, written by Spark's own writer with its commit
+protocol: any shared store will do, and a lost executor's task is simply run
+again.  The ends of frames are Spark's line ends; nothing reads the files as
+text.  The index is a separate table of shard, offset, length and counts for
+each record, from which single records can be read in any order.
+
+A shard holds ``SHARD_BYTES`` of text, more in a corpus of more than
+``MOST_SMALL_SHARDS`` such shards (up to ``LARGE_SHARD_BYTES``), and at most one
+document beyond that.  One key for each shard is sent to the tasks: 100 TB give
+400,000 keys, 13 MB.
 
 Defined results: null text counts as empty and has only the end id; null ids
-come first; rows that repeat an id are neighbours; no rows give no files and no
-rows; further columns are ignored.
+come first; rows that repeat an id are neighbours, ordered by a hash of their
+text; no rows give no files and no rows; further columns are ignored; a text of
+any length is one record.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import struct
 import sys
 import zlib
 from array import array
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +52,16 @@ from pyspark.sql import functions as F
 
 from waylace.llm.arrow import ROWS
 from waylace.llm.pretokens import Memo, splitter
-from waylace.plans.scratch import scratch_path
+from waylace.plans.scratch import discard, materialize, remove_path, scratch_path
 
 END_ID = 0
 #: Pre-tokens that a worker process remembers.
-MEMO_ENTRIES = 400_000
-#: Aimed at: text bytes for each file.
-SHARD_BYTES = 32 << 20
+MEMO_ENTRIES = 150_000
+#: Text bytes for each file.
+SHARD_BYTES = 24 << 20
+#: So many shards keep that size; beyond, shards grow up to the next figure.
+MOST_SMALL_SHARDS = 16_384
+LARGE_SHARD_BYTES = 256 << 20
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<BqB")
 _CHECK = struct.Struct("<I")
@@ -153,33 +166,79 @@ class BatchEncoder:
         return [next(apart) if w else b"".join(map(known, self.split(t))) for t, w in zip(texts, whole, strict=True)]
 
 
-_encoders: dict[int, BatchEncoder] = {}
+_encoders: dict[str, BatchEncoder] = {}
 
 
-def _encoder(shared) -> BatchEncoder:
-    """This process's encoder for a broadcast definition."""
-    key = id(shared.value)
-    if key not in _encoders:
+def _encoder(digest: str, definition: str) -> BatchEncoder:
+    """This process's encoder for a definition, known by the definition's digest."""
+    if digest not in _encoders:
         _encoders.clear()
-        _encoders[key] = BatchEncoder(shared.value)
-    return _encoders[key]
+        _encoders[digest] = BatchEncoder(definition)
+    return _encoders[digest]
 
 
-_FRAMES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("frame", pa.binary())])
+class Bounds:
+    """The first keys ``(has id, id, tie, salt)`` of all shards but the first, in order."""
 
+    def __init__(self, keys: list[tuple[bool, int, int, int]]):
+        self.columns = np.array(keys, dtype=np.int64).reshape(-1, 4)
 
-def _framed(shared, bounds: list[int], end_id: int):
+    def shard(self, doc_id: int | None, tie: int, salt: int) -> int:
+        """The number of bounds at or before a key."""
+        return bisect_right(self, (doc_id is not None, doc_id or 0, tie, salt))
+
+    def __len__(self) -> int:
+        return len(self.columns)
+
+    def __getitem__(self, k: int) -> tuple[int, ...]:
+        return tuple(self.columns[k].tolist())
+
+
+_RUNNING = pa.schema([("has_id", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("salt", pa.int64()), ("part", pa.int32()), ("size", pa.int64()), ("before", pa.int64())])
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes before each row within its partition."""
+    carry = 0
+    for batch in batches:
+        upto = carry + np.cumsum(batch.column(5).to_numpy(zero_copy_only=False))
+        if len(upto):
+            carry = int(upto[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - batch.column(5).to_numpy(zero_copy_only=False))], schema=_RUNNING)
+
+
+def shard_bounds(rows: DataFrame, shard_bytes: int) -> Bounds:
+    """Where shards of ``shard_bytes`` begin in ``rows`` (``doc_id, tie, salt, size``)."""
+    order = ["has_id", "doc_id", "tie", "salt"]
+    keys = rows.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "tie", "salt", "size")
+    dealt = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).select(*order, "part", "size")
+    placed = materialize(dealt.mapInArrow(_running, "has_id boolean, doc_id long, tie long, salt long, part int, size long, before long"), "token-keys")
+    parts = placed.groupBy("part").agg(F.sum("size").alias("bytes"))  # one row for each partition
+    bases = parts.select("part", F.coalesce(F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    total = parts.agg(F.sum("bytes")).first()[0] or 0
+    each = max(shard_bytes, min(LARGE_SHARD_BYTES, total // MOST_SMALL_SHARDS))
+    shard = F.floor((F.col("base") + F.col("before")) / F.lit(each))
+    firsts = placed.join(bases, "part").groupBy(shard.alias("shard")).agg(F.min(F.struct(*order)).alias("first")).orderBy("shard").select("first.*").collect()  # one row for each shard
+    discard(placed)
+    return Bounds([tuple(r) for r in firsts[1:]])
+
+
+_FRAMES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("frame", pa.binary())])
+
+
+def _framed(shared, digest: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        definition, bounds = shared.value
+        encoder = _encoder(digest, definition)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = part.column(0).to_pylist()
-                found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                ids, texts, ties, salts = (c.to_pylist() for c in part.columns)
+                found = encoder.encode([t or "" for t in texts])
                 frames = [frame(i, x + end, encoder.width) for i, x in zip(ids, found, strict=True)]
-                shards = [0 if i is None else bisect_left(bounds, i) for i in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(ids, pa.int64()), pa.array(frames, pa.binary())], schema=_FRAMES)
+                shards = list(map(bounds.shard, ids, ties, salts))
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), part.column(0), part.column(2), pa.array(frames, pa.binary())], schema=_FRAMES)
 
     return run
 
@@ -187,17 +246,16 @@ def _framed(shared, bounds: list[int], end_id: int):
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> int:
     """Write the files under ``path``; gives the number of shards."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    cuts = [k / shards for k in range(1, shards)]
-    bounds = rows.agg(F.percentile_approx("doc_id", cuts, max(10_000, 20 * shards))).first()[0] if cuts else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("salt"))
+    bounds = shard_bounds(rows.select("doc_id", "tie", "salt", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), shard_bytes)
     with open(tokenizer_path or default_tokenizer_path(), encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
-    framed = rows.mapInArrow(_framed(shared, sorted(set(bounds or [])), end_id), "shard int, doc_id long, frame binary")
-    dealt = framed.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
+        definition = f.read()
+    shared = spark.sparkContext.broadcast((definition, bounds))
+    digest = hashlib.sha256(definition.encode()).hexdigest()
+    framed = rows.mapInArrow(_framed(shared, digest, end_id), "shard int, doc_id long, tie long, frame binary")
+    dealt = framed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
     dealt.select("shard", F.col("frame").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
-    return shards
+    return len(bounds) + 1
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -208,14 +266,19 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 _INDEX = pa.schema([("shard", pa.int32()), ("ordinal", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+#: Index rows that are Python objects at the same time.
+_INDEXED = 4_096
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows, before = [], 0
-            for n, (offset, length, doc_id, ids) in enumerate(records(content.as_buffer())):
-                rows.append((shard.as_py(), n, offset, length, doc_id, len(ids), before, zlib.crc32(ids.astype("<u4").tobytes())))
-                before += len(ids)
-            if rows:
+        for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found, before = enumerate(records(content.as_buffer())), 0
+            while piece := list(islice(found, _INDEXED)):
+                rows = []
+                for n, (offset, length, doc_id, ids) in piece:
+                    rows.append((shard, n, offset, length, doc_id, len(ids), before, zlib.crc32(ids.astype("<u4").tobytes())))
+                    before += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _INDEX, strict=True)], schema=_INDEX)
 
 
@@ -263,8 +326,10 @@ def read_token_files(spark: SparkSession, path: str, picks: DataFrame | None = N
 
 
 def token_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write files in the shared folder, read them back and give :func:`starts` of their index."""
+    """Write files in the shared folder, read them back, delete them and give :func:`starts` of their index."""
     spark = docs.sparkSession
     path = scratch_path(spark, "token-files")
     write_token_files(docs, f"{path}/records", id_col, text_col, tokenizer_path, end_id)
-    return starts(index_token_files(spark, f"{path}/records", f"{path}/index"))
+    index = index_token_files(spark, f"{path}/records", f"{path}/index")
+    remove_path(spark, f"{path}/records")
+    return starts(index)
