@@ -87,7 +87,7 @@ def test_held_out_labels_are_never_learned(many):
     from pyspark.sql import functions as F
 
     flipped = labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = quality.fit_quality(features, labels), quality.fit_quality(features, flipped)
+    a, b = quality.fit_quality(quality.labelled_rows(features, labels)), quality.fit_quality(quality.labelled_rows(features, flipped))
     assert np.allclose(a.weights, b.weights) and np.allclose(a.values, b.values)
 
 

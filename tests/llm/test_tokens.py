@@ -140,3 +140,70 @@ def test_batches_equal_whole_texts(library):
     with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         other = token_files.BatchEncoder(f.read())
     assert not other.by_pretoken and len(other.encode(["Two words"])) == 1
+
+
+def test_every_letter_number_and_space_is_split_as_the_library_does(library):
+    import unicodedata
+
+    with open(token_files.default_tokenizer_path(), encoding="utf-8") as f:
+        encoder = token_files.BatchEncoder(f.read())
+    signs = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] in "LNZ" or c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"]
+    texts = [" ".join(f"a{c}1{c}{c}!{c} {c}" for c in signs[k : k + 50]) for k in range(0, len(signs), 50)]
+    assert encoder.by_pretoken
+    assert encoder.encode(texts) == [np.array(e.ids, dtype="<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoders_are_known_by_their_definition():
+    paths = [tokenizers.path("byte_bpe_50k.json"), tokenizers.path("word_bpe_49k.json")]
+    seen = []
+    for n in range(6):
+        with open(paths[n % 2], encoding="utf-8") as f:
+            definition = f.read()  # dropped in turn, so that addresses are used again
+        seen.append(token_files._encoder(hashlib.sha256(definition.encode()).hexdigest(), definition).encode(["Two words"])[0])
+        del definition
+    assert seen == [seen[0], seen[1]] * 3 and seen[0] != seen[1]
+
+
+def test_alternating_definitions_in_one_session(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "Two words, and some more"), (2, "another 12 text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    known = {p: brute_positions(rows, Tokenizer.from_file(tokenizers.path(p))) for p in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    for n in range(10):
+        name = list(known)[n % 2]
+        assert plain(token_files.token_positions(df, tokenizer_path=tokenizers.path(name)), "doc_id", "start", "n_tokens", "ids_crc32") == known[name]
+
+
+def test_bounds_place_keys():
+    bounds = token_files.Bounds([(False, 0, 7, 0), (True, 3, -5, 2), (True, 3, -5, 9), (True, 8, 0, 0)])
+    assert [bounds.shard(*k) for k in [(None, 0, 0), (None, 7, 0), (2, 9, 9), (3, -6, 0), (3, -5, 2), (3, -5, 8), (3, -5, 9), (3, 0, 0), (8, 0, 0), (9, -1, 0)]] == [0, 1, 1, 1, 2, 2, 3, 3, 4, 4]
+    assert token_files.Bounds([]).shard(None, 1, 1) == 0
+
+
+def test_hot_ids_spread_over_shards(spark, library):
+    rows = [(None, f"row {i} without an id " * 5) for i in range(60)] + [(4, f"text {i} of one id " * 5) for i in range(60)] + [(5, "the same row " * 8)] * 60 + [(i, "x") for i in range(6, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = scratch_path(spark, "test-tokens")
+    shards = token_files.write_token_files(df, f"{path}/records", shard_bytes=1000)
+    index = token_files.index_token_files(spark, f"{path}/records", f"{path}/index").orderBy("shard", "ordinal").collect()
+    assert shards > 12 and len(index) == len(rows)
+    for hot in (None, 4, 5):
+        assert len({r["shard"] for r in index if r["doc_id"] == hot}) > 3
+    ids = [r["doc_id"] for r in index]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    got = token_files.starts(spark.read.parquet(f"{path}/index")).orderBy("start").collect()
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
+    assert sorted((repr(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((repr(i), c) for i, _, _, c in brute_positions(rows, library))
+
+
+def test_records_are_deleted_once_they_are_indexed(spark):
+    import glob
+
+    from waylace.plans.scratch import cleared, shared_root
+
+    folder = f"{shared_root(spark).removeprefix('file://')}/waylace"
+    with cleared(spark):
+        before = set(glob.glob(f"{folder}/*/records"))
+        token_files.token_positions(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+        assert set(glob.glob(f"{folder}/*/records")) == before

@@ -59,3 +59,17 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], inpu
     extra = T._parse_datatype_string(added)
     schema = T.StructType([*df.schema.fields, *extra.fields])
     return df.mapInArrow(append_kernel(make, inputs, to_arrow_schema(extra)), schema)
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[..., list[bool]]], inputs: list[str]) -> DataFrame:
+    """The rows of ``df`` for which the function that ``make()`` returns is true; it takes lists of values of ``inputs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            at_names = [batch.schema.get_field_index(c) for c in inputs]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(fn(*(part.column(i).to_pylist() for i in at_names)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waylace.llm.arrow import append_columns, map_rows
+from waylace.llm.arrow import keep_rows, map_rows
 from waylace.llm.statistics import FEATURES, statistics
-from waylace.plans.scratch import materialize
+from waylace.plans.scratch import discard, materialize
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -98,13 +98,18 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")), make, "doc_id long, x array<double>")
 
 
-def labelled_rows(features: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
-    """``(x, y, part)`` of rows that may be learned from; ``part`` is the id's fold."""
+def usable_labels(labels: DataFrame, label_col: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
+    """``(doc_id, y)`` for the ids that may be learned from, at most about ``most``."""
     mean = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(label_col).alias("y")).where(~held_out("doc_id"))
     n = mean.count()
     if n > most:
         mean = mean.where(F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_RANGE)) < int(most / n * _HASH_RANGE))
-    return features.join(mean, "doc_id").select("x", "y", fold("doc_id").alias("part"))
+    return mean
+
+
+def labelled_rows(features: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
+    """``(x, y, part)`` of rows that may be learned from; ``part`` is the id's fold."""
+    return features.join(usable_labels(labels, label_col, most), "doc_id").select("x", "y", fold("doc_id").alias("part"))
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +146,13 @@ def _summed(rows: DataFrame, terms) -> np.ndarray | None:
     return _matrix(rows.select("x", "y").mapInArrow(run, "i int, sums array<double>"))
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = MOST_LABELLED) -> QualityModel | None:
-    """A model, or None if there is nothing to learn from."""
-    rows = materialize(labelled_rows(features, labels, label_col, most).repartition(_FIT_TASKS), "labelled")
+def fit_quality(labelled: DataFrame) -> QualityModel | None:
+    """A model from ``(x, y, part)`` rows, or None if there is nothing to learn from."""
+    rows = materialize(labelled.repartition(_FIT_TASKS), "labelled")
     fitting = rows.where("part <> 1")
     moments = _summed(fitting, lambda x, y: np.stack([np.ones(x.shape[1]) * len(x), x.sum(axis=0), (x * x).sum(axis=0)]))
     if moments is None:
+        discard(rows)
         return None
     mean = moments[1] / moments[0]
     scale = np.sqrt(np.maximum(moments[2] / moments[0] - mean**2, 0.0))
@@ -172,6 +178,7 @@ def fit_quality(features: DataFrame, labels: DataFrame, label_col: str = "qualit
     counts = _summed(rows.where("part = 1"), binned)
     if counts is None:
         counts = _summed(fitting, binned)
+    discard(rows)
     used = np.flatnonzero(counts[:, 0] > 0)
     share = counts[used, 1] / counts[used, 0]
     centres = low + (used + 0.5) * (high - low) / BINS
@@ -195,18 +202,23 @@ def _scored(features: DataFrame, model: QualityModel | None) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
     features = materialize(document_features(docs, id_col, text_col), "features")
-    scores = _scored(features, fit_quality(features, labels, label_col))
+    scores = _scored(features, fit_quality(labelled_rows(features, labels, label_col)))
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those scored below ``threshold``; all columns stay."""
-    features = materialize(document_features(docs, id_col, text_col), "features")
-    model = fit_quality(features, labels, label_col)
+    known = F.broadcast(usable_labels(labels, label_col))  # bounded by MOST_LABELLED
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).join(known, "doc_id").select("raw", "y", fold("doc_id").alias("part"))
+
+    def make_features():
+        return lambda raw, y, part: (statistics(raw)[1], y, part)
+
+    model = fit_quality(map_rows(texts, make_features, "x array<double>, y double, part long"))
     if model is None:
         return docs
 
     def make():
-        return lambda text: (float(model.score(np.array([statistics(text.encode() if text is not None else b"")[1]]))[0]),)
+        return lambda found: (model.score(np.array([statistics(t.encode() if t is not None else b"")[1] for t in found])) >= threshold).tolist()
 
-    return append_columns(docs, make, [text_col], "_wl_score double").where(F.col("_wl_score") >= threshold).drop("_wl_score")
+    return keep_rows(docs, make, [text_col])
