@@ -1,24 +1,28 @@
 """Mixing sources to target weights by blocks, shards and permutations.
 
 The words of a source, in order of ``doc_id``, are packed into blocks of a
-fixed number of words; the last block of a source may be short.  The mix has a
-number of slots for each source.  Slots are dealt to output shards of a fixed
-number of slots: a shard's counts by source are multinomial draws given the
-exact totals.  They are drawn by halving the range of shards again and again
-(multivariate hypergeometric splits), so a shard finds its counts and its place
-in every source's sequence from the totals alone, without a prefix sum over
-shards.  A source's slot ``j`` reads block ``perm(j mod n)`` of its ``n``
-blocks, with a keyed Feistel permutation for each pass ``j div n``; slots and
-blocks are then joined by block index.  Every draw is keyed by ``seed``, so
-reruns agree.
-
-No source is one task's work: offsets come from a range partitioning by
-(source, doc_id) and sums by partition, and all joins are by (source, block).
+fixed number of words (``BLOCK_WORDS``; a source of less than ``FINE`` such
+blocks has shorter ones, down to a word, so that its target is met as well); the
+last block of a source may be short.  The mix has a number of slots for each
+source, and output shards of ``SHARD_SLOTS`` slots on average.  A source's counts
+in the shards are one multinomial draw of its slots over all shards, made first
+over groups of shards and then within each group; the totals stay exact, and a
+source needs nothing of any other, so there is no limit to their number and no
+table of them on the driver.  A source's slot ``j`` reads block
+``perm(j mod n)`` of its ``n`` blocks, with a keyed Feistel permutation for each
+pass ``j div n``; slots and blocks are then joined by block index.  Every draw
+is keyed by ``seed`` and the source's rank, so reruns agree.  All of this is the
+same at every size.
+
+No source is one task's work: offsets and ranks come from range partitionings and
+sums by partition, a source's slots are drawn by groups of shards, and all joins
+are by (source, block).
 
 Defined results: null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; rows that repeat an id count separately;
 if all sizes are 0 all targets are 0; no rows give no rows; further columns
-are ignored, and kept by :func:`mixed_documents`.
+are ignored, and kept by :func:`mixed_documents`; a text of any length is cut into
+as many blocks as it needs.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waylace.llm.arrow import append_columns, map_rows
-from waylace.plans.scratch import materialize
+from waylace.plans.scratch import discard, materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -41,10 +45,13 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4_096
 SEED = 20_240_501
-#: The table of sources (three numbers each) is sent to every task; this bounds it to 48 MB.
-MOST_SOURCES = 2_000_000
-#: Populations from which a split is by proportion, where the exact draw's relative spread is below 1e-4.
-_PROPORTION_FROM = 500_000_000
+#: A source has at least so many blocks, or one for each word.
+FINE = 256
+#: Shards whose slots of a source are drawn together.
+GROUP_SHARDS = 16
+#: Slots that a task draws, until there are ``MOST_TASKS``.
+TASK_SLOTS = 1 << 16
+MOST_TASKS = 20_000
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -65,10 +72,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     their source's size stop there and the excess is shared again by weight.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = totals.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    dealt = materialize(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "totals")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition
+    bases = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = dealt.withColumn("place", place).join(F.broadcast(bases), "part").select("source", "source_size", (F.col("base") + F.col("place") - 1).cast("long").alias("rank"))
     ranked = materialize(ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))), "sources")
+    discard(dealt)
     total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
     cap = F.col("source_size") * float(max_repeats)
     level, capped = 0.0, -1
@@ -115,47 +126,49 @@ def _placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
     window = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(window), F.lit(0)).alias("base"))
-    base = materialize(base.join(sources.select(F.col("source").alias("s2"), "rank"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "p", "base", "rank"), "bases")
-    return rows.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "size", "tie", "rank", (F.col("base") + F.col("before")).alias("start"))
-
-
-def shard_counts(slots: np.ndarray, shard: int, shards: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's counts by source, and the slots of each source in the shards before it."""
-    lo, hi = 0, shards
-    here, before = slots.copy(), np.zeros_like(slots)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left_size = min(int(here.sum()), (mid - lo) * shard_slots)
-        rng = np.random.default_rng([seed, lo, hi])
-        left = _split(rng, here, left_size)
-        if shard < mid:
-            here, hi = left, mid
-        else:
-            before, here, lo = before + left, here - left, mid
-    return here, before
-
-
-def _split(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
-    total = int(counts.sum())
-    if take >= total:
-        return counts.copy()
-    if total < _PROPORTION_FROM:
-        return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    share = counts * (take / total)
-    out = np.minimum(np.floor(share).astype(np.int64), counts)
-    short = take - int(out.sum())
-    order = np.argsort(-(share - out), kind="stable")
-    room = order[counts[order] > out[order]]
-    out[room[:short]] += 1
+    base = materialize(base.join(sources.select(F.col("source").alias("s2"), "rank", "block_words"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "p", "base", "rank", "block_words"), "bases")
+    placed = rows.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "size", "tie", "rank", "block_words", (F.col("base") + F.col("before")).alias("start"))
+    out = materialize(placed, "placed")
+    discard(rows)
+    discard(base)
     return out
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
+def with_slots(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``sources`` with the ``block_words``, ``blocks`` and ``slots`` of each."""
+    size = F.col("source_size")
+    words = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(size / FINE))).cast("long")
+    rows = sources.withColumn("block_words", words).withColumn("blocks", F.ceil(size / F.col("block_words")).cast("long"))
+    wanted = F.rint(F.col("target") * F.col("blocks") / F.greatest(size, F.lit(1))).cast("long")
+    return rows.withColumn("slots", F.least(wanted, MAX_REPEATS * F.col("blocks")))
+
+
+def group_counts(slots: int, shards: int, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of shards that have slots of a source, and how many: a multinomial draw over equal shards."""
+    rng = np.random.default_rng([seed, rank])
+    groups = -(-shards // GROUP_SHARDS)
+    if slots <= groups:
+        return np.unique(rng.integers(0, shards, slots) // GROUP_SHARDS, return_counts=True)
+    share = np.full(groups, GROUP_SHARDS / shards)
+    share[-1] = (shards - (groups - 1) * GROUP_SHARDS) / shards
+    counts = rng.multinomial(slots, share / share.sum())
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
+def group_shards(count: int, group: int, shards: int, rank: int, seed: int) -> np.ndarray:
+    """The shard of each of a source's slots in a group, ascending: a multinomial draw over the group's shards."""
+    n = min(GROUP_SHARDS, shards - group * GROUP_SHARDS)
+    counts = np.random.default_rng([seed, rank, group]).multinomial(count, np.full(n, 1 / n))
+    return group * GROUP_SHARDS + np.repeat(np.arange(n), counts)
+
+
+def permuted(index: np.ndarray, n: int, key: int | list[int]) -> np.ndarray:
     """Images of ``index`` under a keyed permutation of ``range(n)``: a Feistel network with cycle walking."""
     half = max(1, (int(n - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     shift = np.uint64(half)
-    rounds = [np.uint64(x) for x in np.random.default_rng([key]).integers(0, 1 << 63, size=4)]
+    rounds = [np.uint64(x) for x in np.random.default_rng(key).integers(0, 1 << 63, size=4)]
 
     def once(x: np.ndarray) -> np.ndarray:
         left, right = x >> shift, x & mask
@@ -173,47 +186,63 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_SLOTS = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("rank", pa.int64()), ("epoch", pa.int32()), ("block", pa.int64())])
+_GROUPS = pa.schema([("rank", pa.int64()), ("blocks", pa.int64()), ("group", pa.int64()), ("count", pa.int64()), ("before", pa.int64())])
+_SLOTS = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("rank", pa.int64()), ("epoch", pa.int32()), ("block", pa.int64())])
+#: Rows of a batch.
+_AT_ONCE = 1 << 16
+
+
+def _batches(rows: Iterator[list[np.ndarray]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Columns by columns, put together to batches of some size."""
+    held, n = [], 0
+    for columns in rows:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= _AT_ONCE:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _grouped(shards: int, seed: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            for rank, blocks, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                group, count = group_counts(slots, shards, rank, seed)
+                for at in range(0, len(group), _AT_ONCE):
+                    g, c = group[at : at + _AT_ONCE], count[at : at + _AT_ONCE]
+                    yield [np.full(len(g), rank), np.full(len(g), blocks), g, c, count[:at].sum() + np.cumsum(c) - c]
+
+    return lambda batches: _batches(rows(batches), _GROUPS)
 
 
-def _draw(slots: np.ndarray, blocks: np.ndarray, shards: int, shard_slots: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _drawn(shards: int, seed: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                counts, before = shard_counts(slots, shard, shards, shard_slots, seed)
-                ranks, epochs, found = [], [], []
-                for s in np.flatnonzero(counts).tolist():
-                    j = np.arange(before[s], before[s] + counts[s])
-                    epoch, index = j // blocks[s], j % blocks[s]
-                    for e in np.unique(epoch).tolist():
-                        here = index[epoch == e]
-                        ranks.append(np.full(len(here), s))
-                        epochs.append(np.full(len(here), e, dtype=np.int32))
-                        found.append(permuted(here, int(blocks[s]), seed * 1_000_003 + s * 1_009 + e))
-                if not ranks:
-                    continue
-                n = sum(map(len, ranks))
-                place = np.random.default_rng([seed, shards, shard]).permutation(n).astype(np.int32)
-                columns = [np.full(n, shard), place, np.concatenate(ranks), np.concatenate(epochs), np.concatenate(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SLOTS, strict=True)], schema=_SLOTS)
-
-    return run
-
-
-def mix_plan(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """The mix as ``(shard, slot, rank, epoch, block)`` rows, in the order a trainer would read them."""
-    spark = sources.sparkSession
-    table = sources.orderBy("rank").select("source_size", "target").limit(MOST_SOURCES + 1).toPandas()
-    if len(table) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    size = table["source_size"].to_numpy(dtype=np.int64)
-    target = table["target"].to_numpy(dtype=np.float64)
-    blocks = -(-size // block_words)
-    slots = np.where(size > 0, np.rint(target * blocks / np.maximum(size, 1)), 0).astype(np.int64)
-    slots = np.minimum(slots, MAX_REPEATS * blocks)
-    shards = int(-(-slots.sum() // shard_slots))
-    tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.range(0, shards, 1, tasks).mapInArrow(_draw(slots, blocks, max(shards, 1), shard_slots, seed), "shard long, slot int, rank long, epoch int, block long")
+            for rank, blocks, group, count, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard = group_shards(count, group, shards, rank, seed)
+                place = np.random.default_rng([seed, rank, group, 1]).integers(0, 1 << 62, count)
+                j = np.arange(before, before + count)
+                epoch, index = j // blocks, j % blocks
+                block = np.empty(count, dtype=np.int64)
+                for e in np.unique(epoch).tolist():
+                    here = epoch == e
+                    block[here] = permuted(index[here], blocks, [seed, rank, e])
+                for at in range(0, count, _AT_ONCE):
+                    some = slice(at, at + _AT_ONCE)
+                    yield [shard[some], place[some], np.full(len(shard[some]), rank), epoch[some], block[some]]
+
+    return lambda batches: _batches(rows(batches), _SLOTS)
+
+
+def mix_plan(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The mix as ``(shard, slot, rank, epoch, block)`` rows; a trainer reads each shard in order of ``slot``."""
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, -(-total // shard_slots))
+    groups = sources.where("slots > 0").select("rank", "blocks", "slots").mapInArrow(_grouped(shards, seed), "rank long, blocks long, group long, count long, before long")
+    tasks = max(1, min(total // TASK_SLOTS, MOST_TASKS))
+    return groups.repartition(tasks, "rank", "group").mapInArrow(_drawn(shards, seed), "shard long, slot long, rank long, epoch int, block long")
 
 
 def block_repeats(plan: DataFrame) -> DataFrame:
@@ -221,12 +250,13 @@ def block_repeats(plan: DataFrame) -> DataFrame:
     return plan.groupBy("rank", "block").agg(F.count("*").alias("times"))
 
 
-def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
+def _pieces(placed: DataFrame) -> DataFrame:
     """One row for each part of a document that lies in one block."""
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+    words = F.col("block_words")
+    first, last = F.floor(F.col("start") / words), F.floor((F.col("start") + F.col("size") - 1) / words)
     rows = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("start"), F.col("block") * block_words)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
+    low = F.greatest(F.col("start"), F.col("block") * words)
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * words)
     return rows.withColumn("words", high - low)
 
 
@@ -237,10 +267,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     being its words in one block; ``taken`` is the sum of words times repeats.
     """
     sizes = materialize(_sizes(docs, id_col, text_col, source_col), "sizes")
-    sources = materialize(source_targets(sizes, weights), "targets")
-    placed = materialize(_placed(sizes, sources), "placed")
-    repeats = materialize(block_repeats(mix_plan(sources, block_words, shard_slots, seed)), "repeats")
-    pieces = _pieces(placed, block_words).join(repeats, ["rank", "block"], "left")
+    sources = materialize(with_slots(source_targets(sizes, weights), block_words), "targets")
+    placed = _placed(sizes, sources)
+    repeats = materialize(block_repeats(mix_plan(sources, shard_slots, seed)), "repeats")
+    pieces = _pieces(placed).join(repeats, ["rank", "block"], "left")
     key = ["doc_id", "size", "tie", "rank", "start"]
     taken = pieces.groupBy(*key).agg(
         F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"),
@@ -248,6 +278,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     empty = placed.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"), F.array().cast(taken.schema["times"].dataType).alias("times"))
     rows = materialize(taken.unionByName(empty), "taken")
+    for table in (sizes, placed, repeats):
+        discard(table)
     return rows.join(sources.select("rank", "source", "source_size", "target"), "rank").select("doc_id", "source", "size", "source_size", "target", "taken", "times", "tie")
 
 
@@ -288,22 +320,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     All columns stay; ``chars_col``, where present, follows the new text.
     """
     found = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    key = ["doc_id", "source", "tie"]
     # rows that repeat a key have one text: their lists are kept side by side and dealt by ordinal
-    plans = materialize(found.groupBy(*key).agg(F.collect_list("times").alias("_wl_plans")).select(*[F.col(c).alias(f"_wl_{c}") for c in key], "_wl_plans"), "plans")
-    keyed = docs.withColumn("_wl_k_tie", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_wl_doc_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_wl_source")) & (F.col("_wl_k_tie") == F.col("_wl_tie"))
-    joined = keyed.join(plans, same)
-    picked = joined.where(F.size("_wl_plans") == 1).withColumn("_wl_times", F.col("_wl_plans")[0])
-    if not plans.where(F.size("_wl_plans") > 1).isEmpty():
-        window = Window.partitionBy("_wl_doc_id", "_wl_source", "_wl_tie").orderBy("_wl_tie")
-        several = joined.where(F.size("_wl_plans") > 1).withColumn("_wl_n", F.row_number().over(window))
-        picked = picked.unionByName(several.where(F.col("_wl_n") <= F.size("_wl_plans")).withColumn("_wl_times", F.element_at("_wl_plans", F.col("_wl_n"))).drop("_wl_n"))
-    rows = picked.select(*docs.columns, "_wl_times")
+    plans = materialize(found.groupBy("doc_id", "source", "tie").agg(F.collect_list("times").alias("plans")), "plans")
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.col(source_col).cast("string").alias("own_source"), F.xxhash64(F.col(text_col)).alias("own_tie"), F.col(text_col).alias("text"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_tie") == F.col("tie"))
+    joined = packed.join(plans, same)
+    picked = joined.where(F.size("plans") == 1).select("row", "text", F.col("plans")[0].alias("times"))
+    if not plans.where(F.size("plans") > 1).isEmpty():
+        window = Window.partitionBy("doc_id", "source", "tie").orderBy("tie")
+        several = joined.where(F.size("plans") > 1).withColumn("nth", F.row_number().over(window))
+        picked = picked.unionByName(several.where(F.col("nth") <= F.size("plans")).select("row", "text", F.element_at("plans", F.col("nth")).alias("times")))
 
     def make():
         return lambda text, times: (taken_texts(text, [(x["words"], x["times"]) for x in times]),)
 
-    out = append_columns(rows, make, [text_col, "_wl_times"], "_wl_texts array<string>").withColumn("_wl_text", F.explode("_wl_texts"))
-    columns = [F.col("_wl_text").alias(c) if c == text_col else F.length("_wl_text").cast(T.LongType()).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
+    out = append_columns(picked, make, ["text", "times"], "texts array<string>").select("row", F.explode("texts").alias("text"))
+    columns = [F.col("text").alias(c) if c == text_col else F.length("text").cast(T.LongType()).alias(c) if c == chars_col else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*columns)
