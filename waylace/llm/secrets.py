@@ -8,9 +8,13 @@ whose members are those of PKCS#1, PKCS#8 or SEC1), an OpenSSH private key
 algorithm, a JSON object, and a signature, joined by dots).  Random text of
 the same alphabet decodes to bytes without that structure and is left alone.
 
+Work grows in proportion to the text: tokens are found run by run, wrapped
+base64 is decoded once for each of its four alignments, and overlaps are looked
+up in a map of the text.
+
 Spans are code points, end exclusive.  Defined results: null counts as an empty
-text and has no spans; rows that repeat an id each get their row; no rows give
-no rows; further columns are ignored.
+text and has no spans; texts of any length are read whole; rows that repeat an
+id each get their row; no rows give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +24,14 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waylace.llm.arrow import map_rows
-
-Span = tuple[str, int, int]
+from waylace.llm.spans import Span, Taken, joined
 
 BASE_KINDS = ("assign", "access", "hex")
 #: key: a private key in an encoding; token: a signed token
@@ -39,12 +44,14 @@ _MIN_ASSIGN, _MIN_ACCESS = 12, 18
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _UPPER_HEX = re.compile(r"[0-9A-Fa-f]{80,}")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt])++)-----END \1-----")
 _ESCAPED = re.compile(r"\\+[nrt]|\s")
 #: Lines of base64, joined by line ends or their escapes; an escape's letter begins none.
 _LINES = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nr]))[A-Za-z0-9+/_-]{40,}(?:[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*[A-Za-z0-9+/_-]+)+")
 _LINE = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nr]))[A-Za-z0-9+/_-]+")
-_SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
+_PART = re.compile(r"[A-Za-z0-9_-]*+")
+#: Fewest characters of a token's header, claims and signature.
+_LEAST_PARTS = (8, 4, 16)
 _MAGIC = b"openssh-key-v1\0"
 
 
@@ -83,9 +90,9 @@ def _der(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, in
     return out
 
 
-def is_private_key(data: bytes) -> bool:
+def is_private_key(data: bytes | memoryview) -> bool:
     """Whether the bytes are a private key as PKCS#1, PKCS#8, SEC1 or OpenSSH lay it out."""
-    if data.startswith(_MAGIC):
+    if bytes(data[: len(_MAGIC)]) == _MAGIC:
         at = len(_MAGIC)
         for _ in range(3):  # cipher, derivation, its options
             if len(data) - at < 4:
@@ -101,7 +108,7 @@ def is_private_key(data: bytes) -> bool:
     if not inner or len(inner) < 2:
         return False
     tags = [t for t, _, _ in inner]
-    version = data[inner[0][1] : inner[0][2]]
+    version = bytes(data[inner[0][1] : inner[0][2]])
     if tags[0] != 0x02 or version not in (b"\0", b"\1"):
         return False
     if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # PKCS#8: algorithm, then the key
@@ -112,9 +119,13 @@ def is_private_key(data: bytes) -> bool:
     return (len(tags) >= 9 or len(tags) == 6) and set(tags[:9]) == {0x02}  # PKCS#1, or the six numbers of DSA
 
 
-def _key_size(data: bytes) -> int | None:
+#: Public keys that an OpenSSH file may name; its format allows one.
+_MOST_KEYS = 64
+
+
+def _key_size(data: bytes | memoryview) -> int | None:
     """Bytes of the private key that may begin ``data``, by its own lengths; None if there is none."""
-    if data.startswith(_MAGIC):
+    if bytes(data[: len(_MAGIC)]) == _MAGIC:
         at, left = len(_MAGIC), 3  # cipher, derivation, its options
         while left:
             at += 4 + int.from_bytes(data[at : at + 4], "big")
@@ -122,6 +133,8 @@ def _key_size(data: bytes) -> int | None:
             if at + 4 > len(data):
                 return None
         left = int.from_bytes(data[at : at + 4], "big") + 1  # public keys, then the private part
+        if left > _MOST_KEYS:
+            return None
         at += 4
         while left:
             if at + 4 > len(data):
@@ -134,7 +147,8 @@ def _key_size(data: bytes) -> int | None:
     width = data[1] & 0x7F if data[1] & 0x80 else 0
     if width > 4:
         return None
-    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+    size = int.from_bytes(data[2 : 2 + width], "big") if width else data[1]
+    return 2 + width + size if data[2 + width : 3 + width] == b"\2" else None  # each form begins with its version
 
 
 def _wrapped_keys(text: str) -> list[Span]:
@@ -142,24 +156,28 @@ def _wrapped_keys(text: str) -> list[Span]:
     out: list[Span] = []
     for m in _LINES.finditer(text):
         lines = [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        ends = list(accumulate(b - a for a, b in lines))
+        joined_lines = "".join(text[a:b] for a, b in lines)
+        decoded: dict[int, memoryview] = {}
+        free = 0
         for i, (a, b) in enumerate(lines):
-            if b - a < 40 or out and a < out[-1][2]:
-                continue
-            head = _unbase64(text[a : a + 24])
-            if not head or head[0] != 0x30 and not head.startswith(_MAGIC):
+            at = ends[i] - (b - a)
+            if b - a < 40 or a < free:
                 continue
-            whole = "".join(text[x:y] for x, y in lines[i:]) if head[0] != 0x30 else text[a : a + 24]
-            size = _key_size(_unbase64(whole[: len(whole) // 4 * 4]) or b"")
+            shift = at % 4
+            if shift not in decoded:
+                decoded[shift] = memoryview(_unbase64(joined_lines[shift : len(joined_lines) - (len(joined_lines) - shift) % 4]) or b"")
+            data = decoded[shift][at // 4 * 3 :]
+            size = _key_size(data)
             if size is None:
                 continue
-            chars, n = (8 * size + 5) // 6, 0
-            for k in range(i, len(lines)):
-                n += lines[k][1] - lines[k][0]
-                if n >= chars:
-                    break
-            if n == chars and is_private_key(_unbase64("".join(text[x:y] for x, y in lines[i : k + 1])) or b""):
+            chars = at + (8 * size + 5) // 6
+            k = bisect_left(ends, chars, i)
+            # the last bytes may lie beyond the last whole group of four characters
+            if k < len(lines) and ends[k] == chars and is_private_key(data[:size] if len(data) >= size else _unbase64(joined_lines[at:chars]) or b""):
                 end = lines[k][1]
-                out.append(("key", a, end + min(2, len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")))))
+                free = end + min(2, len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")))
+                out.append(("key", a, free))
     return out
 
 
@@ -186,6 +204,27 @@ def is_signed_token(header: str, body: str, signature: str) -> bool:
     return head is not None and isinstance(head.get("alg"), str) and _is_json_object(body) is not None and bool(_unbase64(signature))
 
 
+def _signed_tokens(text: str) -> list[Span]:
+    """Three dotted runs whose first holds ``eyJ``, the start of an encoded object."""
+    out: list[Span] = []
+    at = text.find("eyJ")
+    while at >= 0:
+        parts, end = [], at
+        for least in _LEAST_PARTS:
+            begin, end = end, _PART.match(text, end).end()
+            parts.append(text[begin:end])
+            if end - begin < least or len(parts) < len(_LEAST_PARTS) and text[end : end + 1] != ".":
+                break
+            end += len(parts) < len(_LEAST_PARTS)
+        else:
+            if is_signed_token(*parts):
+                out.append(("token", at, end))
+            at = text.find("eyJ", end)
+            continue
+        at = text.find("eyJ", at + max(1, len(parts[0])))  # what follows may be a header itself
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans that decoding confirms, by start."""
     out: list[Span] = []
@@ -194,11 +233,17 @@ def confirmed_spans(text: str) -> list[Span]:
             data = _unbase64(_ESCAPED.sub("", m[2]))
             if data is not None and (is_private_key(data) or m[1].startswith("ENCRYPTED") and _der(data)):
                 out.append(("key", *m.span()))
-    if "eyJ" in text:
-        out += [("token", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m[1], m[2], m[3])]
-    out += [s for s in _wrapped_keys(text) if all(s[2] <= a or b <= s[1] for _, a, b in out)]
-    for m in _RUN.finditer(text):
-        if any(a <= m.start() < b for _, a, b in out):
+    out += _signed_tokens(text)
+    wrapped, runs = _wrapped_keys(text), list(_RUN.finditer(text))
+    if not wrapped and not runs:
+        return _ordered(out)
+    taken = Taken(text, out)
+    for span in wrapped:
+        if not taken.overlaps(span):
+            taken.add(span)
+            out.append(span)
+    for m in runs:
+        if taken.map[m.start()]:
             continue
         data = _unbase64(m[0])
         if data is not None and is_private_key(data):
@@ -213,10 +258,6 @@ def all_spans(text: str) -> list[Span]:
     return _ordered(base_spans(text) + confirmed_spans(text))
 
 
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id`` and ``spans``, an array of (kind, start, end)."""
 
@@ -227,7 +268,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex`` of base spans, ``base_sha256`` and all ``spans`` as text."""
+    """``doc_id, n_assign, n_access, n_hex`` of base spans, ``base_sha256``, all ``spans`` as text and their number ``n_spans``."""
 
     def make():
         def row(doc_id, text):
@@ -235,8 +276,8 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             base = base_spans(text)
             counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
             more = confirmed_spans(text)
-            return (doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(_ordered(base + more) if more else base))
+            return (doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(_ordered(base + more) if more else base), len(base) + len(more))
 
         return row
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
