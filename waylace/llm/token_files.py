@@ -56,7 +56,7 @@ from waylace.plans.scratch import discard, materialize, remove_path, scratch_pat
 
 END_ID = 0
 #: Pre-tokens that a worker process remembers.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 400_000
 #: Text bytes for each file.
 SHARD_BYTES = 24 << 20
 #: So many shards keep that size; beyond, shards grow up to the next figure.
@@ -254,13 +254,14 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     digest = hashlib.sha256(definition.encode()).hexdigest()
     framed = rows.mapInArrow(_framed(shared, digest, end_id), "shard int, doc_id long, tie long, frame binary")
     dealt = framed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
-    dealt.select("shard", F.col("frame").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+    dealt.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
     return len(bounds) + 1
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", "/shard=(\\d+)/", 1).cast("int").alias("shard"), "content")
+    """``(shard, content)``: a file's shard is the number that the writer put in its name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.regexp_extract("path", "/part-(\\d+)-[^/]*$", 1).cast("int").alias("shard"), "content")
 
 
 _INDEX = pa.schema([("shard", pa.int32()), ("ordinal", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("ids_crc32", pa.int64())])
