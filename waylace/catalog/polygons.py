@@ -108,9 +108,10 @@ _MIDS = (
     + _SAMPLES
     + """, rel AS (SELECT *, CASE WHEN w >= h THEN x - x0 - w / 2 ELSE y - y0 - h / 2 END AS along, CASE WHEN w >= h THEN y - y0 - h / 2 ELSE -(x - x0 - w / 2) END AS across FROM pts),
     binned AS (SELECT *, round_even(along / axis_bin, 0)::BIGINT AS bin, across >= 0 AS lft FROM rel),
-    far AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poly_id, bin, lft ORDER BY round(abs(across), 9) DESC, i) AS r FROM binned) WHERE r = 1),
-    mids AS (SELECT l.poly_id, l.bin, (l.x + r.x) / 2 AS x, (l.y + r.y) / 2 AS y, sqrt(power(l.x - r.x, 2) + power(l.y - r.y, 2)) AS width, l.axis_bin
-        FROM far l JOIN far r ON l.poly_id = r.poly_id AND l.bin = r.bin AND l.lft AND NOT r.lft WHERE sqrt(power(l.x - r.x, 2) + power(l.y - r.y, 2)) >= l.lane_width)"""
+    far AS (SELECT poly_id, bin, any_value(axis_bin) AS axis_bin, any_value(lane_width) AS lane_width,
+        arg_max({'x': x, 'y': y}, {'d': round(abs(across), 9), 'i': -i}) FILTER (lft) AS l, arg_max({'x': x, 'y': y}, {'d': round(abs(across), 9), 'i': -i}) FILTER (NOT lft) AS r FROM binned GROUP BY poly_id, bin),
+    mids AS MATERIALIZED (SELECT poly_id, bin, (l.x + r.x) / 2 AS x, (l.y + r.y) / 2 AS y, sqrt(power(l.x - r.x, 2) + power(l.y - r.y, 2)) AS width, axis_bin
+        FROM far WHERE l IS NOT NULL AND r IS NOT NULL AND sqrt(power(l.x - r.x, 2) + power(l.y - r.y, 2)) >= lane_width)"""
 )
 
 
@@ -183,7 +184,16 @@ QUERIES = {
             c AS (SELECT *, sum(s) OVER (PARTITION BY poly_id ORDER BY bin)::BIGINT AS segment FROM g)
             SELECT poly_id, segment, count(*) AS points, min(bin) AS first_bin, max(bin) AS last_bin FROM c GROUP BY ALL""",
     ),
-    "boundary_pair_lines": (boundary_pair_lines, None),
+    "boundary_pair_lines": (
+        boundary_pair_lines,
+        _MIDS.replace("WITH", "WITH RECURSIVE", 1)
+        + """, ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY poly_id ORDER BY bin) AS k, count(*) OVER (PARTITION BY poly_id) AS most FROM mids),
+            walk(poly_id, k, segment, points, x, y, step) AS (SELECT poly_id, k, 0::BIGINT, 1::BIGINT, x, y, 0.0::DOUBLE FROM ord WHERE k = 1
+                UNION ALL SELECT poly_id, k, CASE WHEN closes THEN segment + 1 ELSE segment END, CASE WHEN closes THEN 1 ELSE points + 1 END, x, y, CASE WHEN closes THEN 0 ELSE gap END FROM (
+                    SELECT ord.poly_id, ord.k, segment, points, ord.x, ord.y, sqrt(power(ord.x - walk.x, 2) + power(ord.y - walk.y, 2)) AS gap,
+                        points >= 2 AND sqrt(power(ord.x - walk.x, 2) + power(ord.y - walk.y, 2)) > axis_bin * 3.0 AS closes FROM walk JOIN ord ON ord.poly_id = walk.poly_id AND ord.k = walk.k + 1))
+            SELECT poly_id, segment::INT AS segment, count(*)::INT AS points, round(sum(step), 4) AS length FROM walk GROUP BY poly_id, segment HAVING count(*) >= 2""",
+    ),
     "segmentize_rings": (segmentize_rings, _SEGMENTIZE),
     "ring_measures": (ring_measures, with_tables("polys") + " SELECT poly_id, round(2 * (w + h), 4) AS perimeter, round(w * h, 4) AS area, round(x0 + w / 2, 4) AS cx, round(y0 + h / 2, 4) AS cy FROM polys"),
     "poly_min_width": (poly_min_width, POLICY_TABLES + " SELECT poly_id, least(w, h) >= lane_width AS wide_enough FROM polys, pol"),

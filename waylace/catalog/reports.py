@@ -167,7 +167,16 @@ QUERIES = {
         + """, g AS (SELECT component_count <= 20 AS max_components, leaf_count >= 10 AS min_leaf_count, branch_count <= 100 AS max_branch_count, length_change_rate <= 1.0 AS max_length_change_rate, outside_ratio <= 0.9 AS max_outside_ratio, parallel_pair_found AS parallel_pair_required FROM met)
             SELECT *, max_components AND min_leaf_count AND max_branch_count AND max_length_change_rate AND max_outside_ratio AND parallel_pair_required AS passed FROM g""",
     ),
-    "validation_errors": (validation_errors, None),
+    "validation_errors": (
+        validation_errors,
+        with_tables("polys", "net", "edges", "degree").replace("WITH", "WITH RECURSIVE", 1)
+        + _ADJ
+        + _COMPONENT
+        + _TERM
+        + """, whole AS (SELECT 'connectivity' AS "check", count(*) || ' components, largest ' || max(nodes) AS detail FROM (SELECT root, count(*) AS nodes FROM comp GROUP BY root) HAVING count(*) > 1),
+            off AS (SELECT 'terminal' AS "check", 'node ' || n || ' is ' || round(dist, 3) || ' m off' AS detail FROM lbd WHERE dist > 0.5 ORDER BY n LIMIT 3)
+            SELECT "check", detail FROM (SELECT * FROM whole UNION ALL SELECT * FROM off) ORDER BY "check", detail LIMIT 5""",
+    ),
     "scan_guard": (
         scan_guard,
         with_tables("net", "edges") + """ SELECT part FROM (VALUES ('graph', false), ('lengths', false), ('boundary', true), ('near', true), ('risks', true)) AS p(part, capped), (SELECT count(*) AS n FROM edges) WHERE n > 0 AND (NOT capped OR n <= 20000)""",

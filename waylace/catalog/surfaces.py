@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waylace.catalog.network import _BOX_NEAR, _POLICY_NET, _SEG_DIST, _ANGLE, _with_course
+from waylace.catalog.network import _ANGLE, _BOX_NEAR, _CONTRACT_ROUNDS, _POLICY_NET, _SEG_DIST, CONTRACTED, _distance_sql, _with_course
 from waylace.catalog.polygons import _PAIRS, box_policy
 from waylace.catalog.reports import _SHARED
 from waylace.functions import geometry as G
@@ -91,13 +91,27 @@ QUERIES = {
     ),
     "voronoi_skeleton": (voronoi_skeleton, None),
     "opening": (opening, None),
-    "simplify_lines": (simplify_lines, None),
+    "simplify_lines": (
+        simplify_lines,
+        with_tables("vertices").replace("WITH", "WITH RECURSIVE", 1)
+        + f""", ends AS (SELECT line_id, max(seq) AS n FROM vertices GROUP BY line_id),
+            part(line_id, i, j) AS (SELECT line_id, 1, n FROM ends UNION ALL SELECT line_id, unnest([i, k]), unnest([k, j]) FROM (
+                SELECT part.line_id, i, j, arg_max(p.seq, {{'gap': {_distance_sql("p.x", "p.y", "a.x", "a.y", "b.x", "b.y")}, 'first': -p.seq}}) AS k, max({_distance_sql("p.x", "p.y", "a.x", "a.y", "b.x", "b.y")}) AS gap
+                FROM part JOIN vertices a ON a.line_id = part.line_id AND a.seq = i JOIN vertices b ON b.line_id = part.line_id AND b.seq = j JOIN vertices p ON p.line_id = part.line_id AND p.seq > i AND p.seq < j
+                GROUP BY part.line_id, i, j) WHERE gap > 2.0),
+            kept AS (SELECT DISTINCT line_id, seq FROM (SELECT line_id, i AS seq FROM part UNION ALL SELECT line_id, j FROM part)),
+            course AS (SELECT line_id, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM kept JOIN vertices USING (line_id, seq) WINDOW w AS (PARTITION BY line_id ORDER BY seq))
+            SELECT line_id, count(*)::INT AS points, round(coalesce(sum(step), 0), 4) AS length FROM course GROUP BY line_id""",
+    ),
     "parallel_split": (
         parallel_split,
         _POLICY_NET
         + f""", pr AS (SELECT b.edge_id AS j, {_SEG_DIST} AS distance, {_ANGLE} AS angle FROM edges a JOIN edges b ON a.edge_id < b.edge_id AND {_BOX_NEAR.format(3)}),
             gone AS (SELECT DISTINCT j FROM pr, pol WHERE distance <= lane_width * 0.8 AND angle <= 12) SELECT edge_id, edge_id IN (SELECT j FROM gone) AS moved FROM edges""",
     ),
-    "bridge_contract": (bridge_contract, None),
-    "contracted_degrees": (contracted_degrees, None),
+    "bridge_contract": (bridge_contract, CONTRACTED + f" SELECT edge_id, u, v, round(weight, 4) AS weight FROM edges_{_CONTRACT_ROUNDS}, settled WHERE yes = 'true'"),
+    "contracted_degrees": (
+        contracted_degrees,
+        CONTRACTED + f" SELECT d AS degree, count(*) AS nodes FROM (SELECT n, count(*) AS d FROM (SELECT u AS n FROM edges_{_CONTRACT_ROUNDS} UNION ALL SELECT v FROM edges_{_CONTRACT_ROUNDS}) GROUP BY n), settled WHERE yes = 'true' GROUP BY d",
+    ),
 }
