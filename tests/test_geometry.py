@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waylace.functions import geometry as G
-from waylace.functions import kernels
+from waylace.functions import kernels, offsets
 from waylace.operators import dissolve
 from waylace.operators.spatial import near_pairs
 from waylace.plans.policy import Settings, load_settings, policy_for_width, upper_median
@@ -87,9 +87,9 @@ def test_skeleton_of_a_bar():
 
 def test_opening():
     ring = np.array(box(0, 0, 20, 10), dtype=float)
-    out = kernels.opened_convex(ring, 2.0, 64)
-    assert abs(kernels._area(out)) == pytest.approx(200 - (4 - math.pi) * 4, abs=0.01)
-    assert kernels.opened_convex(ring, 6.0) is None
+    out = offsets.opened_rings(offsets.split_line(ring[::-1]), 2.0)
+    assert len(out) == 1 and offsets.area(out[0]) == pytest.approx(200 - (4 - math.pi) * 4, abs=0.03)
+    assert offsets.opened_rings(offsets.split_line(ring), 6.0) == []
 
 
 def test_union_drops_shared_sides(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waylace.functions import along
 from waylace.functions import geometry as G
 from waylace.operators import pairing
 from waylace.plans.policy import policy_frame, policy_from_widths, upper_median
@@ -129,9 +130,9 @@ def boundary_pair_lines(spark, sf_dir):
 
 def segmentize_rings(spark, sf_dir):
     policy = box_policy(spark, sf_dir)
-    ring = G.segmentize(G.box_ring(F.col("x0"), F.col("y0"), F.col("w"), F.col("h")), policy.voronoi_step)
-    rows = derived.polys(spark, sf_dir).select("poly_id", F.posexplode(ring).alias("i", "p"))
-    return rows.select("poly_id", "i", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    rows = derived.polys(spark, sf_dir).select("poly_id", G.box_ring(F.col("x0"), F.col("y0"), F.col("w"), F.col("h")).alias("geom"))
+    points = along.densified(rows, ["poly_id"], policy.voronoi_step)
+    return points.select("poly_id", "i", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 _SEGMENTIZE = (

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waylace.catalog.network import _ANGLE, _BOX_NEAR, _CONTRACT_ROUNDS, _POLICY_NET, _SEG_DIST, CONTRACTED, _distance_sql, _with_course
-from waylace.catalog.polygons import _PAIRS, box_policy
+from waylace.catalog.polygons import _PAIRS, POLICY_TABLES, box_policy
 from waylace.catalog.reports import _SHARED
 from waylace.functions import geometry as G
-from waylace.functions import graphs, kernels
+from waylace.functions import graphs, kernels, offsets
 from waylace.operators import dissolve, edits
 from waylace.sources import derived
 from waylace.sources.derived import with_tables
@@ -43,14 +43,21 @@ def polygon_clusters(spark, sf_dir):
 def voronoi_skeleton(spark, sf_dir):
     """Skeleton edges of each box and their length."""
     policy = box_policy(spark, sf_dir)
-    rows = kernels.skeleton_lines(rings(spark, sf_dir), 2 * policy.voronoi_step, policy.lane_width)
+    rows = kernels.skeleton_lines(rings(spark, sf_dir), policy.voronoi_step, policy.lane_width)
     line = F.explode("parts").alias("geom")
     return rows.select("poly_id", line).groupBy("poly_id").agg(F.count("*").alias("parts"), F.round(F.sum(G.line_length(F.col("geom"))), 3).alias("length"))
 
 
 def opening(spark, sf_dir):
     """Boxes left by opening with four metres, and their area."""
-    rows = kernels.opened(rings(spark, sf_dir), 4.0).where("ring is not null")
+    rows = offsets.with_opened(rings(spark, sf_dir), 4.0, "ring").select("poly_id", F.explode("parts").alias("ring"))
+    return rows.select("poly_id", F.round(G.ring_area2(F.col("ring")) / 2, 3).alias("area"))
+
+
+def stable_boxes(spark, sf_dir):
+    """Boxes that are wide enough once they are opened and simplified as the policy asks, and their area before."""
+    policy = box_policy(spark, sf_dir)
+    rows = offsets.with_stable(rings(spark, sf_dir), 2 * policy.lane_width, policy.sharp_simplify, 4 * policy.lane_width, "ring").where("size(parts) > 0")
     return rows.select("poly_id", F.round(G.ring_area2(F.col("ring")) / 2, 3).alias("area"))
 
 
@@ -90,7 +97,11 @@ QUERIES = {
             SELECT n AS poly_id, min(c) AS "cluster" FROM reach GROUP BY n""",
     ),
     "voronoi_skeleton": (voronoi_skeleton, None),
-    "opening": (opening, None),
+    "opening": (
+        opening,
+        with_tables("polys") + " SELECT poly_id, round((w - 8) * (h - 8) + 8 * (w - 8 + h - 8) + 32 * 16 * sin(pi() / 32), 3) AS area FROM polys WHERE least(w, h) > 8",
+    ),
+    "stable_boxes": (stable_boxes, POLICY_TABLES + " SELECT poly_id, round(w * h, 3) AS area FROM polys, pol WHERE least(w, h) > 4 * lane_width"),
     "simplify_lines": (
         simplify_lines,
         with_tables("vertices").replace("WITH", "WITH RECURSIVE", 1)

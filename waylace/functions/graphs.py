@@ -6,7 +6,7 @@ and self-loops are allowed; a self-loop adds two to its node's degree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylace.plans.scratch import discard, materialize
@@ -26,11 +26,23 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each pair of different nodes; of several the last (largest ``edge_id``) stays."""
+    """One edge for each pair of different nodes, from the smaller to the larger; of several the last (largest ``edge_id``) stays.
+
+    End coordinates and ``geom``, where given, are turned with their edge.
+    """
     rest = [c for c in edges.columns if c not in ("u", "v")]
+    turned = F.col("u") > F.col("v")
+    other = {"ux": "vx", "vx": "ux", "uy": "vy", "vy": "uy"}
+
+    def along(name: str) -> Column:
+        if name in other and set(other) <= set(rest):
+            return F.when(turned, F.col(other[name])).otherwise(F.col(name)).alias(name)
+        return F.when(turned, F.reverse(name)).otherwise(F.col(name)).alias(name) if name == "geom" else F.col(name)
+
     return (
         edges.where("u <> v")
-        .groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *[along(c) for c in rest])
+        .groupBy("u", "v")
         .agg(F.max_by(F.struct(*rest), "edge_id").alias("last"))
         .select("u", "v", "last.*")
     )
@@ -96,6 +108,7 @@ def chain_walks(edges: DataFrame) -> DataFrame:
         )
         discard(state)
         state = moved
+    discard(half)
     deg_a = degrees.select(F.col("n").alias("a"), F.col("degree").alias("deg_a"))
     deg_last = degrees.select(F.col("n").alias("last"), F.col("degree").alias("deg_last"))
     return state.join(deg_a, "a").join(deg_last, "last", "left").select("edge_id", "forward", "a", "b", "last", "last_edge", "length", "hops", "deg_a", "deg_last")

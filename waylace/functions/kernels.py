@@ -17,6 +17,7 @@ from waylace.functions.geometry import LINE
 
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 ARROW_LINE = pa.list_(_POINT)
+_BLOCK = 256
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -164,9 +165,9 @@ def voronoi_skeleton(ring: np.ndarray, step: float, least_width: float) -> list[
 def voronoi_near(ring: np.ndarray, pieces: np.ndarray, step: float, least_width: float) -> list[np.ndarray]:
     """The part of a surface's Voronoi skeleton whose middles lie in one of its rings.
 
-    ``pieces`` (n, 4) are the surface's boundary around the ring.  Edges nearer
-    to a boundary sample than the samples are to each other would leave the
-    surface between two of them and are dropped.
+    ``pieces`` (n, 4) are the surface's boundary around the ring.  Edges that meet
+    the boundary, or are nearer to a boundary sample than the samples are to
+    each other, would leave the surface between two of them and are dropped.
     """
     found = []
     for ax, ay, bx, by in pieces:
@@ -195,11 +196,27 @@ def voronoi_near(ring: np.ndarray, pieces: np.ndarray, step: float, least_width:
     if not len(p):
         return []
     middle = (p + q) / 2
+    ok = inside_ring(ring, middle)
+    p, q, middle = p[ok], q[ok], middle[ok]
     near = np.array([np.hypot(*(points - m).T).min() for m in middle])
-    ok = inside_ring(ring, middle) & (2 * near >= least_width)
+    ok = (2 * near >= least_width) & ~meets_any(p, q, pieces)
     return [np.stack([a, b]) for a, b in zip(p[ok], q[ok], strict=True)]
 
 
+def meets_any(p: np.ndarray, q: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Whether each segment meets one of the ``pieces`` (n, 4)."""
+
+    def side(ax, ay, bx, by, cx, cy):
+        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+    out = np.zeros(len(p), dtype=bool)
+    for at in range(0, len(p), _BLOCK):
+        here = slice(at, at + _BLOCK)
+        own, other = [c[:, None] for c in (*p[here].T, *q[here].T)], pieces.T
+        out[here] = ((side(*own, other[0], other[1]) * side(*own, other[2], other[3]) <= 0) & (side(*other, own[0], own[1]) * side(*other, own[2], own[3]) <= 0)).any(axis=1)
+    return out
+
+
 def boundary_pair_lines(ring: np.ndarray, step: float, axis_bin: float, least_width: float, break_at: float) -> list[np.ndarray]:
     """Lines through the midpoints of the farthest left and right boundary samples along a ring's long axis."""
     rect = smallest_rectangle(ring[:-1])
@@ -235,49 +252,6 @@ def boundary_pair_lines(ring: np.ndarray, step: float, axis_bin: float, least_wi
     return [*lines, np.array(open_line)] if len(open_line) >= 2 else lines
 
 
-def opened_convex(ring: np.ndarray, d: float, arc_steps: int = 8) -> np.ndarray | None:
-    """A convex ring shrunk by ``d`` and grown again: corners become arcs; None if nothing is left.
-
-    Rings that are not convex are given back as they are.
-    """
-    corners = ring[:-1]
-    hull = convex_hull(corners)
-    if len(hull) < 3 or abs(_area(np.concatenate([hull, hull[:1]])) - abs(_area(ring))) > 1e-6 * abs(_area(ring)):
-        return ring
-    inner = hull
-    for a, b in zip(hull, np.roll(hull, -1, axis=0), strict=True):
-        e = (b - a) / np.hypot(*(b - a))
-        inner = _clipped(inner, a + d * np.array([-e[1], e[0]]), np.array([-e[1], e[0]]))
-        if len(inner) < 3:
-            return None
-    out = []
-    for k in range(len(inner)):
-        prev, here, after = inner[k - 1], inner[k], inner[(k + 1) % len(inner)]
-        start, end = (math.atan2(-(e := here - prev)[0], e[1]), math.atan2(-(f := after - here)[0], f[1]))
-        turn = (end - start) % (2 * math.pi)
-        for s in range(arc_steps + 1):
-            angle = start + turn * s / arc_steps
-            out.append(here + d * np.array([math.cos(angle), math.sin(angle)]))
-    return np.array([*out, out[0]])
-
-
-def _area(ring: np.ndarray) -> float:
-    return float((ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]).sum() / 2)
-
-
-def _clipped(poly: np.ndarray, at: np.ndarray, normal: np.ndarray) -> np.ndarray:
-    """The part of a convex polygon on the side of a line that its normal points to."""
-    side = (poly - at) @ normal
-    out = []
-    for k in range(len(poly)):
-        a, b, sa, sb = poly[k - 1], poly[k], side[k - 1], side[k]
-        if (sa < 0) != (sb < 0):
-            out.append(a + sa / (sa - sb) * (b - a))
-        if sb >= 0:
-            out.append(b)
-    return np.array(out)
-
-
 def to_arrays(column: pa.Array) -> list[np.ndarray | None]:
     """Lines of an Arrow column as arrays of shape (n, 2)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -319,6 +293,8 @@ def _plain(value: object) -> object:
         return [{"x": float(x), "y": float(y)} for x, y in value]
     if isinstance(value, list):
         return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
     return value
 
 
@@ -355,9 +331,3 @@ def surface_skeleton(df: DataFrame, step: float, least_width: float, geom: str =
 def pair_lines(df: DataFrame, step: float, axis_bin: float, least_width: float, break_at: float, geom: str = "ring") -> DataFrame:
     """``df`` with ``parts``: each ring's lines through paired boundary samples."""
     return map_geometry(df, geom, lambda ring: boundary_pair_lines(ring, step, axis_bin, least_width, break_at), "parts", f"array<{LINE}>")
-
-
-def opened(df: DataFrame, d: float, geom: str = "ring") -> DataFrame:
-    """``df`` whose rings are opened by ``d``; rings that vanish become null."""
-    done = map_geometry(df, geom, lambda ring: opened_convex(ring, d), "_open", LINE)
-    return done.drop(geom).withColumnRenamed("_open", geom)

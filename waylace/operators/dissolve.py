@@ -16,13 +16,23 @@ from waylace.operators.spatial import near_pairs
 from waylace.plans.components import connected_components
 from waylace.plans.policy import Policy
 
-#: Distance of the two test points from a piece, in metres.
-SIDE = 1e-4
+#: Distance of the two test points from a piece, in metres; more than rounding to millimetres moves a piece off its ring.
+SIDE = 2e-3
+
+
+def with_holes(ring: Column, holes: Column) -> Column:
+    """All rings of a polygon as one line: the outer one, then each hole after a vertex without a place.
+
+    No side that meets such a vertex is ever crossed or has a length, so the
+    even-odd rule holds for the whole line.
+    """
+    nowhere = F.array(G.point(F.lit(float("nan")), F.lit(float("nan"))))
+    return F.concat(ring, F.flatten(F.transform(F.coalesce(holes, F.array().cast(f"array<{G.LINE}>")), lambda h: F.concat(nowhere, h))))
 
 
 def ring_edges(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     """The sides of closed rings as an edge table; ``edge_id`` is (poly_id, side)."""
-    rows = polygons.select("poly_id", F.posexplode(G.segments(F.col(ring))).alias("k", "s"))
+    rows = polygons.select("poly_id", F.posexplode(G.segments(F.col(ring))).alias("k", "s")).where("not isnan(s.a.x) and not isnan(s.b.x)")
     ends = rows.select(F.struct("poly_id", "k").alias("edge_id"), *[F.col(f"s.{p}.{c}").alias(f"{e}{c}") for p, e in (("a", "u"), ("b", "v")) for c in "xy"])
     return ends.select("edge_id", F.struct("ux", "uy").alias("u"), F.struct("vx", "vy").alias("v"), *edits.XY, G.distance(F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy")).alias("weight"))
 
@@ -31,7 +41,7 @@ def ring_contains(ring: Column, px: Column, py: Column) -> Column:
     """Even-odd test of a point against a closed ring."""
 
     def crossing(s: Column) -> Column:
-        spans = (s["a"]["y"] <= py) != (s["b"]["y"] <= py)
+        spans = ((s["a"]["y"] <= py) != (s["b"]["y"] <= py)) & ~F.isnan(s["a"]["y"] + s["b"]["y"])
         x = s["a"]["x"] + F.try_divide((py - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]), s["b"]["y"] - s["a"]["y"])
         return spans & F.coalesce(px < x, F.lit(False))
 
@@ -40,7 +50,8 @@ def ring_contains(ring: Column, px: Column, py: Column) -> Column:
 
 def ring_box(ring: Column) -> tuple[Column, Column, Column, Column]:
     """Bounding box of a ring."""
-    x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    placed = F.filter(ring, lambda p: ~F.isnan(p["x"]))
+    x, y = F.transform(placed, lambda p: p["x"]), F.transform(placed, lambda p: p["y"])
     return F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)
 
 

@@ -7,6 +7,7 @@ course have ``geom`` as well.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def _side(edges: DataFrame, p: str) -> DataFrame:
 def edge_pairs(edges: DataFrame, reach: float, cell: float = 8.0, also: Column | None = None) -> DataFrame:
     """Pairs of edges ``a_edge_id < b_edge_id`` whose boxes come within ``reach``, with unit directions ``hx, hy`` of both."""
     first = F.col("a_edge_id") < F.col("b_edge_id")
-    return near_pairs(_side(edges, "a_"), _side(edges, "b_"), edge_box("a_"), edge_box("b_"), reach, cell, first if also is None else first & also)
+    return near_pairs(_side(edges, "a_"), _side(edges, "b_"), edge_box("a_"), edge_box("b_"), reach, cell, first if also is None else first & also, spread=True)
 
 
 def _alike(max_angle: float) -> Column:
@@ -106,6 +107,87 @@ def reconnect_inside(candidates: DataFrame, boxes: DataFrame, policy: Policy) ->
     return candidates.join(share, ["a", "b"]).where(F.col("inside") >= policy.reconnect_inside_ratio * F.col("distance")).select("a", "b", "distance", "angle", "inside")
 
 
+def _covered_stretches(links: DataFrame, pieces: DataFrame, reach: float) -> DataFrame:
+    """``(a, b, lo, hi)``: the shares of each link within ``reach`` of a boundary piece.
+
+    The points within a distance of a segment are convex, so a link has one such
+    stretch for each piece: it spans those within the two end discs and the band.
+    """
+    line = (F.least("a_x", "b_x"), F.least("a_y", "b_y"), F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y"))
+    box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
+    pairs = near_pairs(links, pieces, line, box, reach, 64.0)
+    dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
+    ex, ey = G.unit(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    # in steps, so that no expression is written out many times
+    rows = pairs.withColumns({"dx": dx, "dy": dy, "size": dx * dx + dy * dy, "ex": ex, "ey": ey, "long": G.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))})
+    col = F.col
+    steps: dict[str, Column] = {}
+    for c in "ab":  # discs around both ends of the piece
+        wx, wy = col("a_x") - col(f"{c}x"), col("a_y") - col(f"{c}y")
+        steps |= {f"half{c}": wx * col("dx") + wy * col("dy"), f"over{c}": wx * wx + wy * wy - reach * reach}
+    wx, wy = col("a_x") - col("ax"), col("a_y") - col("ay")  # the band: along the piece, and across it
+    steps |= {"s0": wx * col("ex") + wy * col("ey"), "d0": col("dx") * col("ex") + col("dy") * col("ey"), "s1": wy * col("ex") - wx * col("ey"), "d1": col("dy") * col("ex") - col("dx") * col("ey")}
+    rows = rows.withColumns(steps)
+    steps = {f"root{c}": F.sqrt(F.when(col(f"half{c}") * col(f"half{c}") >= col("size") * col(f"over{c}"), col(f"half{c}") * col(f"half{c}") - col("size") * col(f"over{c}"))) for c in "ab"}
+    for k, least, most in (("0", F.lit(0.0), col("long")), ("1", F.lit(-reach), F.lit(reach))):
+        t1, t2 = F.try_divide(least - col(f"s{k}"), col(f"d{k}")), F.try_divide(most - col(f"s{k}"), col(f"d{k}"))
+        off = (F.abs(f"d{k}") < 1e-12) & ((col(f"s{k}") < least) | (col(f"s{k}") > most))
+        steps |= {f"in{k}": F.when(~off, F.coalesce(F.least(t1, t2), F.lit(0.0))), f"out{k}": F.when(~off, F.coalesce(F.greatest(t1, t2), F.lit(1.0)))}
+    rows = rows.withColumns(steps)
+    band = (col("in0") + col("in1")).isNotNull()
+    rows = rows.withColumns({"low": F.when(band, F.greatest("in0", "in1", F.lit(0.0))), "high": F.when(band, F.least("out0", "out1", F.lit(1.0)))})
+    rows = rows.withColumns({"low": F.when(col("low") <= col("high"), col("low")), "high": F.when(col("low") <= col("high"), col("high"))})
+    ends = [[(sign * col(f"root{c}") - col(f"half{c}")) / col("size") for c in "ab"] for sign in (-1.0, 1.0)]
+    rows = rows.select("a", "b", F.greatest(F.least(*ends[0], "low"), F.lit(0.0)).alias("lo"), F.least(F.greatest(*ends[1], "high"), F.lit(1.0)).alias("hi"))
+    return materialize(rows, "stretches").where("lo <= hi")  # written first: the filter would carry all of this below the join
+
+
+def inner_stretches(links: DataFrame, pieces: DataFrame, covered: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``(a, b, lo, hi)``: the shares of each link inside the surface that ``pieces`` bound.
+
+    Links are cut where they meet the boundary; ``covered(samples, keys)`` tells
+    which middles (``px, py``) lie in the surface.
+    """
+    line = (F.least("a_x", "b_x"), F.least("a_y", "b_y"), F.greatest("a_x", "b_x"), F.greatest("a_y", "b_y"))
+    box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
+    met = near_pairs(links, pieces, line, box, 0.0, 64.0)
+    dx, dy, ex, ey = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    wx, wy = F.col("ax") - F.col("a_x"), F.col("ay") - F.col("a_y")
+    det, size = dx * ey - dy * ex, dx * dx + dy * dy
+    t, s = F.try_divide(wx * ey - wy * ex, det), F.try_divide(wx * dy - wy * dx, det)
+    level = (F.abs(det) < 1e-12) & (F.abs(wx * dy - wy * dx) < 1e-9)
+    ends = [F.when(level, ((F.col(f"{c}x") - F.col("a_x")) * dx + (F.col(f"{c}y") - F.col("a_y")) * dy) / size) for c in "ab"]
+    cuts = met.select("a", "b", F.explode(F.array(F.when(s.between(-1e-9, 1 + 1e-9), t), *ends)).alias("t")).where("t > 0 and t < 1")
+    cuts = cuts.unionByName(links.select("a", "b", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
+    parts = cuts.withColumn("hi", F.lead("t").over(Window.partitionBy("a", "b").orderBy("t"))).where("hi is not null").withColumnRenamed("t", "lo")
+    parts = materialize(parts, "stretches")
+    middle = (F.col("lo") + F.col("hi")) / 2
+    samples = parts.join(links.select("a", "b", "a_x", "a_y", "b_x", "b_y"), ["a", "b"]).select("a", "b", "lo", (F.col("a_x") + middle * dx).alias("px"), (F.col("a_y") + middle * dy).alias("py"))
+    return parts.join(covered(samples, ["a", "b", "lo"]), ["a", "b", "lo"])
+
+
+def links_on_surface(links: DataFrame, pieces: DataFrame, covered: Callable[[DataFrame, list[str]], DataFrame], policy: Policy) -> DataFrame:
+    """Links (:func:`reconnect_candidates`) that lie in a surface by the required share, or wholly within the buffer around it."""
+    inner = materialize(inner_stretches(links, pieces, covered), "inner")
+    share = inner.groupBy("a", "b").agg(F.sum(F.col("hi") - F.col("lo")).alias("share"))
+    spans = inner.select("a", "b", "lo", "hi").unionByName(_covered_stretches(links, pieces, policy.reconnect_buffer))
+    upto = F.max("hi").over(Window.partitionBy("a", "b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = spans.withColumn("upto", F.coalesce(upto, F.lit(0.0)))
+    whole = gaps.groupBy("a", "b").agg((F.max(F.col("lo") - F.col("upto")) <= 1e-9).alias("closed"), (F.max("hi") >= 1 - 1e-9).alias("reaches"))
+    judged = links.join(share, ["a", "b"], "left").join(whole, ["a", "b"], "left")
+    fits = (F.coalesce("share", F.lit(0.0)) >= policy.reconnect_inside_ratio) | F.coalesce(F.col("closed") & F.col("reaches"), F.lit(False))
+    return judged.where(fits).select(*links.columns)
+
+
+def reconnected(edges: DataFrame, pieces: DataFrame, covered: Callable[[DataFrame, list[str]], DataFrame], policy: Policy) -> DataFrame:
+    """``edges`` (with ``geom``) and a straight edge for each break that is closed."""
+    links = materialize(reconnect_candidates(edges, policy), "links")
+    found = links_on_surface(links, pieces, covered, policy)
+    geom = F.array(G.point(F.col("a_x"), F.col("a_y")), G.point(F.col("b_x"), F.col("b_y")))
+    new = found.select(F.xxhash64(F.to_json(geom)).alias("edge_id"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("a_x").alias("ux"), F.col("a_y").alias("uy"), F.col("b_x").alias("vx"), F.col("b_y").alias("vy"), geom.alias("geom"), F.col("distance").alias("weight"))
+    return edges.unionByName(new.select(*edges.columns))
+
+
 def mean_directions(edges: DataFrame) -> DataFrame:
     """``(n, neighbours, mx, my)`` for nodes with two or more neighbours: mean unit direction towards them."""
     there = edges.select(F.col("u").alias("n"), (F.col("vx") - F.col("ux")).alias("dx"), (F.col("vy") - F.col("uy")).alias("dy"))
@@ -186,11 +268,20 @@ def bridge_candidates(edges: DataFrame, max_length: float = 1.5, min_degree: int
 
 
 def guarded_bridges(edges: DataFrame, max_length: float = 1.5, max_angle: float = 15.0) -> DataFrame:
-    """``bridge_candidates`` with ``preserve``: whether lines run on in parallel at both of its ends."""
+    """``bridge_candidates`` with ``preserve``: whether lines run on in parallel at both of its ends.
+
+    Directions are those in which edges leave a node: to the next vertex of
+    ``geom``, which runs from u to v, or to the other end where there is none.
+    """
     bridges = bridge_candidates(edges, max_length)
-    outward = edges.select("edge_id", F.col("u").alias("n"), (F.col("vx") - F.col("ux")).alias("dx"), (F.col("vy") - F.col("uy")).alias("dy")).unionByName(
-        edges.select("edge_id", F.col("v").alias("n"), (F.col("ux") - F.col("vx")).alias("dx"), (F.col("uy") - F.col("vy")).alias("dy"))
-    )
+    if "geom" in edges.columns:  # towards the vertex next to the node
+        next_u, next_v, last = F.element_at("geom", 2), F.element_at("geom", -2), F.element_at("geom", -1)
+        first = F.element_at("geom", 1)
+        du, dv = (next_u["x"] - first["x"], next_u["y"] - first["y"]), (next_v["x"] - last["x"], next_v["y"] - last["y"])
+    else:
+        du = (F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
+        dv = (-du[0], -du[1])
+    outward = edges.select("edge_id", F.explode(F.array(*[F.struct(F.col(n).alias("n"), d[0].alias("dx"), d[1].alias("dy")) for n, d in (("u", du), ("v", dv))])).alias("o")).select("edge_id", "o.*")
     x, y = G.unit(F.col("dx"), F.col("dy"))
     unit = outward.where("dx <> 0 or dy <> 0").select("edge_id", "n", x.alias("x"), y.alias("y"))
     side = lambda end: bridges.select(F.col("edge_id").alias("bridge"), F.col(end).alias("n")).join(unit, "n").where("edge_id <> bridge").select("bridge", F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y"))

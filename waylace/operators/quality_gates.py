@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waylace.functions import geometry as G
 from waylace.functions import graphs
-from waylace.operators import edits, nearest
+from waylace.operators import edits, nearest, ranks
 from waylace.operators.selection import covered_points, sample_count
 from waylace.operators.spatial import near_pairs
 from waylace.plans.components import connected_components
@@ -21,12 +21,17 @@ RISK_LENGTH = 3.0
 TOUCH_TOLERANCE = 0.5
 
 
+PERCENTILES = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Mean, sample deviation, extremes and interpolated percentiles of a column, as one row."""
-    places = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    """Mean, sample deviation, extremes and interpolated percentiles of a column's values, as one row; nulls are left out."""
     c = F.col(column)
-    aggregates = [F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.array(*[F.lit(p) for p in places.values()])).alias("_p")]
-    return df.agg(*aggregates).select("n", "mean", "std", "min", "max", *[F.get("_p", F.lit(i)).alias(k) for i, k in enumerate(places)])
+    values = df.where(c.isNotNull())
+    row = values.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    n = row.first()["n"]
+    found = ranks.quantiles(values, column, list(PERCENTILES.values()), n) if n else [None] * len(PERCENTILES)
+    return row.select("*", *[F.lit(v).cast("double").alias(k) for k, v in zip(PERCENTILES, found, strict=True)])
 
 
 def straight_samples(edges: DataFrame, n: Column) -> DataFrame:

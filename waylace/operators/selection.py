@@ -47,6 +47,10 @@ def quality(lines: DataFrame, boxes: DataFrame, policy: Policy) -> DataFrame:
     return parts.join(inside_ratio(lines, boxes, policy), "line_id").withColumn("score", G.clamp(score, 0, 1))
 
 
+_ROOM = 1e-3
+_ACCURACY = 10_000
+
+
 def select_candidates(scored: DataFrame, policy: Policy, group: str | None = None) -> DataFrame:
     """The rows that reach the quality bar; where none does, the best share of ``keep_ratio``.
 
@@ -58,8 +62,17 @@ def select_candidates(scored: DataFrame, policy: Policy, group: str | None = Non
     joined = keyed.join(summary, "_g")
     passing = joined.where(F.col("score") >= policy.min_quality).select(*scored.columns)
     keep = F.greatest(F.lit(1), F.ceil(F.col("_n") * policy.keep_ratio))
+    left = joined.where("_passing = 0")
+    # the last row to keep lies between two approximate percentiles; only rows between them are ordered
+    shares = F.array(*[F.lit(min(1.0, max(0.0, 1 - policy.keep_ratio + room))) for room in (-_ROOM, _ROOM)])
+    brackets = left.groupBy("_g").agg(F.percentile_approx("score", shares, _ACCURACY).alias("_b"))
+    placed = left.join(brackets, "_g")
+    above = placed.where(F.col("score") > F.col("_b")[1])
+    more = above.groupBy("_g").agg(F.count("*").alias("_above"))
     window = Window.partitionBy("_g").orderBy(F.desc("score"), "line_id")
-    best = joined.where("_passing = 0").withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= keep).select(*scored.columns)
+    between = placed.where((F.col("score") <= F.col("_b")[1]) & (F.col("score") >= F.col("_b")[0])).withColumn("_r", F.row_number().over(window))
+    last = between.join(more, "_g", "left").where(F.col("_r") + F.coalesce("_above", F.lit(0)) <= keep)
+    best = above.select(*scored.columns).unionByName(last.select(*scored.columns))
     return passing.unionByName(best)
 
 

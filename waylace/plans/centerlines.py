@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waylace.functions import along, graphs, kernels
+from waylace.functions import along, graphs, kernels, offsets
 from waylace.functions import geometry as G
 from waylace.operators import dissolve, edits, nearest, pruning, selection
 from waylace.operators.spatial import near_pairs
@@ -57,22 +57,42 @@ def candidates(polygons: DataFrame, boundary: DataFrame, policy: Policy) -> Data
     """
     halo = HALO_WIDTHS * policy.median_width
     box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
-    rings = polygons.select("poly_id", "ring")
+    rings = polygons.select("poly_id", "ring", "whole")
     near = near_pairs(boundary, rings, box, dissolve.ring_box(F.col("ring")), halo, max(64.0, 2 * halo))
     around = near.groupBy("poly_id").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("pieces"))  # one ring's surroundings
-    voronoi = kernels.surface_skeleton(rings.join(around, "poly_id"), policy.voronoi_step, policy.lane_width)
+    voronoi = kernels.surface_skeleton(rings.join(around, "poly_id"), policy.voronoi_step, policy.lane_width, "whole")
     step = max(policy.pair_step, policy.boundary_step_floor)
-    other = polygons.select(F.col("poly_id").alias("other_id"), F.col("ring").alias("other_ring"))
-    beside = near_pairs(rings, other, dissolve.ring_box(F.col("ring")), dissolve.ring_box(F.col("other_ring")), 0.0, 64.0, F.col("poly_id") != F.col("other_id")).select("poly_id").distinct()
-    pairs = kernels.pair_lines(rings.join(beside, "poly_id", "left_anti"), step, policy.axis_bin, policy.lane_width, policy.axis_bin * policy.pair_break_bins)
+    pairs = kernels.pair_lines(rings.join(beside(polygons), "poly_id", "left_anti"), step, policy.axis_bin, policy.lane_width, policy.axis_bin * policy.pair_break_bins)
     lines = lambda df: _numbered(df.select(F.explode("parts").alias("geom")).select(G.round_line(F.col("geom")).alias("geom")))
     return lines(voronoi).withColumn("origin", F.lit("voronoi")).unionByName(lines(pairs).withColumn("origin", F.lit("boundary_pair")))
 
 
+def beside(polygons: DataFrame) -> DataFrame:
+    """``poly_id`` of polygons whose boxes meet another's."""
+    rings = polygons.select("poly_id", "ring")
+    other = polygons.select(F.col("poly_id").alias("other_id"), F.col("ring").alias("other_ring"))
+    return near_pairs(rings, other, dissolve.ring_box(F.col("ring")), dissolve.ring_box(F.col("other_ring")), 0.0, 64.0, F.col("poly_id") != F.col("other_id")).select("poly_id").distinct()
+
+
+def stabilized(polygons: DataFrame, policy: Policy) -> DataFrame:
+    """Polygons opened and simplified, without parts narrower than a lane; all as they are if none would be left.
+
+    Polygons beside others stay as they are: opened one by one they would get
+    notches along their seams.
+    """
+    touching = materialize(beside(polygons), "beside")
+    lone = polygons.join(touching, "poly_id", "left_anti")
+    parts = offsets.with_stable(lone, policy.protrusion, policy.sharp_simplify, policy.lane_width).select("poly_id", F.posexplode("parts").alias("part", "p"))
+    stable = parts.select(F.struct("poly_id", "part").alias("poly_id"), "p.ring", "p.whole")
+    seams = polygons.join(touching, "poly_id", "left_semi").select(F.struct("poly_id", F.lit(0).alias("part")).alias("poly_id"), "ring", "whole")
+    out = materialize(stable.unionByName(seams), "stable")
+    return polygons if out.isEmpty() else out
+
+
 def covered_samples(samples: DataFrame, polygons: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` of the samples inside some ring or within a millimetre of it, once each."""
     at = (F.col("px"), F.col("py"), F.col("px"), F.col("py"))
-    pairs = near_pairs(samples, polygons.select(F.col("ring").alias("_ring")), at, dissolve.ring_box(F.col("_ring")), 0.001, 64.0)
+    pairs = near_pairs(samples, polygons.select(F.col("whole").alias("_ring")), at, dissolve.ring_box(F.col("_ring")), 0.001, 64.0)
     px, py = F.col("px"), F.col("py")
     on = F.exists(G.segments(F.col("_ring")), lambda s: G.point_segment_distance(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= 0.001)
     return pairs.where(on | dissolve.ring_contains(F.col("_ring"), px, py)).select(*keys).distinct()
@@ -110,11 +130,35 @@ def node_radii(edges: DataFrame, boundary: DataFrame) -> DataFrame:
     return found.select("n", F.greatest("dist", F.lit(pruning.MIN_RADIUS)).alias("radius"))
 
 
+_EDGE = ("edge_id", "u", "v", *edits.XY, "geom", "weight")
+
+
+def rekeyed(edges: DataFrame) -> DataFrame:
+    """Edges between the nodes of their courses' ends; loops go."""
+    return line_edges(edges.select(F.col("edge_id").alias("line_id"), "geom")).select(*_EDGE)
+
+
+def rejoined(edges: DataFrame, before: DataFrame) -> DataFrame:
+    """:func:`rekeyed` edges; of several whose nodes were different ``before`` and are the same now the last stays."""
+    pair = [F.least("u", "v"), F.greatest("u", "v")]
+    nth = F.row_number().over(Window.partitionBy(*pair).orderBy("edge_id"))  # courses beside each other between two nodes stay apart
+    numbered = rekeyed(edges).join(before.select("edge_id", nth.alias("nth")), "edge_id")
+    last = numbered.groupBy(pair[0].alias("p"), pair[1].alias("q"), "nth").agg(F.max_by(F.struct(*_EDGE), "edge_id").alias("last"))
+    return last.select("last.*")
+
+
+def separated_and_reconnected(edges: DataFrame, polygons: DataFrame, boundary: DataFrame, policy: Policy) -> DataFrame:
+    """Parallel edges moved apart, with nodes where their shifted ends are, and breaks closed inside the surface."""
+    split = materialize(rekeyed(edits.split_parallels(edges, policy)), "split")
+    return edits.reconnected(split, boundary, lambda samples, keys: covered_samples(samples, polygons, keys), policy)
+
+
 def smoothed(edges: DataFrame, policy: Policy) -> DataFrame:
     """Rounds of moving inner nodes along the direction field, then of averaging and resampling each course.
 
-    Courses of up to three vertices keep their shape: the average would draw them
-    together into one point.
+    Moved nodes are rounded to millimetres again: edges whose ends meet go, and
+    of several between two nodes the last stays.  Courses of up to three vertices
+    keep their shape: the average would draw them together into one point.
     """
     step = max(policy.resample_floor, policy.resample_step)
     current = edges
@@ -123,21 +167,23 @@ def smoothed(edges: DataFrame, policy: Policy) -> DataFrame:
         averaged = moved.withColumn("geom", F.when(F.size("geom") > 3, G.moving_average(F.col("geom"))).otherwise(F.col("geom")))
         spaced = along.evenly_spaced(averaged, ["edge_id"], F.greatest(F.lit(2), F.floor(F.col("total") / step).cast("int") + 1))
         lines = along.as_lines(spaced, ["edge_id"])
-        ends = G.with_ends(F.col("geom"), F.element_at("geom", 1), F.element_at("geom", -1), G.point(F.col("ux"), F.col("uy")), G.point(F.col("vx"), F.col("vy")))
-        current = materialize(
-            moved.drop("geom").join(lines, "edge_id").withColumn("geom", ends).withColumn("weight", G.line_length(F.col("geom"))).select(*edges.columns), "smoothed"
-        )
+        place = lambda e: G.point(G.snapped(F.col(f"{e}x")), G.snapped(F.col(f"{e}y")))
+        ends = G.with_ends(F.col("geom"), F.element_at("geom", 1), F.element_at("geom", -1), place("u"), place("v"))
+        drawn = moved.drop("geom").join(lines, "edge_id").withColumn("geom", ends)
+        current = materialize(rejoined(drawn, current), "smoothed")
     return current
 
 
 def skeleton(polygons: DataFrame, policy: Policy, stages: dict[str, int]) -> tuple[DataFrame, DataFrame]:
     """Edges of the skeleton and the boundary of the surface."""
-    boundary = materialize(dissolve.union_boundary(polygons), "boundary")
+    polygons = stabilized(polygons, policy)
+    stages["01_preprocess"] = polygons.count()
+    boundary = materialize(dissolve.union_boundary(polygons, "whole"), "boundary")
     stages["00_merge"] = boundary.count()
     lines = materialize(candidates(polygons, boundary, policy), "candidates")
     stages["02_candidates"] = lines.count()
     chosen = selection.select_candidates(scored(lines, polygons, policy), policy, "origin")
-    edges = materialize(graphs.simple_edges(line_edges(chosen.select("line_id", "geom"))).select("edge_id", "u", "v", *edits.XY, "geom", "weight"), "graph")
+    edges = materialize(graphs.simple_edges(line_edges(chosen.select("line_id", "geom"))).select(*_EDGE), "graph")
     stages["03_graph_build"] = edges.count()
     radius = materialize(node_radii(edges, boundary), "radius")
     edges = pruning.ratio_prune(edges, radius, policy)
@@ -147,8 +193,8 @@ def skeleton(polygons: DataFrame, policy: Policy, stages: dict[str, int]) -> tup
     stages["04_pruned"] = edges.count()
     merged = edits.merge_chains(edges).select(F.col("edge_id"), F.col("geom").alias("geom"))
     merged = materialize(line_edges(merged.withColumnRenamed("edge_id", "line_id")), "merged")
-    split = edits.split_parallels(merged, policy)
-    smooth = smoothed(split, policy)
+    joined = materialize(separated_and_reconnected(merged, polygons, boundary, policy), "reconnected")
+    smooth = smoothed(joined, policy)
     stages["05_graph_refine"] = smooth.count()
     return materialize(smooth.where(F.col("weight") >= policy.min_length), "skeleton"), boundary
 
@@ -180,12 +226,13 @@ def polygon_widths(polygons: DataFrame) -> DataFrame:
 
 
 def centerlines(polygons: DataFrame, settings: Settings | None = None, policy: Policy | None = None) -> Result:
-    """The centreline network of road polygons ``(poly_id, ring)`` with closed rings.
+    """The centreline network of road polygons ``(poly_id, ring)`` with closed rings and, if given, an array ``holes`` of them.
 
     ``network`` has ``edge_id, u, v``, end coordinates, ``geom`` and ``weight``;
     null rings and rings without area are ignored; no polygons give no edges.
     """
-    rings = materialize(polygons.where("ring is not null and size(ring) >= 4").select("poly_id", "ring"), "polygons")
+    holes = F.col("holes") if "holes" in polygons.columns else F.lit(None).cast(f"array<{G.LINE}>")
+    rings = materialize(polygons.where("ring is not null and size(ring) >= 4").select("poly_id", "ring", dissolve.with_holes(F.col("ring"), holes).alias("whole")), "polygons")
     stages: dict[str, int] = {"input": rings.count()}
     policy = policy or policy_from_widths(polygon_widths(rings))
     bones, boundary = skeleton(rings, policy, stages)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waylace.operators.ranks import elements_at
+
 DEFAULT_WIDTH = 8.0
 RURAL_FROM = 12.0
 
@@ -109,20 +111,10 @@ def policy_for_width(width: float | None) -> Policy:
 
 
 def upper_median(df: DataFrame, column: str) -> float | None:
-    """The element at place ``n div 2`` of the ordered positive values, from 0; null without any.
-
-    Approximate percentiles bracket the place; only values in the bracket are
-    ordered, so no task sorts the whole column.
-    """
-    values = df.where(F.col(column) > 0).select(F.col(column).cast("double").alias("v"))
-    n, bracket = values.agg(F.count("*"), F.percentile_approx("v", [0.498, 0.502], 10_000)).first()
-    if not n:
-        return None
-    low, high = bracket
-    below = values.where(F.col("v") < low).count()
-    counts = values.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v"))
-    return counts.withColumn("upto", upto + below).where(F.col("upto") > n // 2).agg(F.min("v")).first()[0]
+    """The element at place ``n div 2`` of the ordered positive values, from 0; null without any."""
+    values = df.where(F.col(column) > 0)
+    n = values.count()
+    return elements_at(values, column, [n // 2], n)[0] if n else None
 
 
 def policy_from_widths(widths: DataFrame, column: str = "width") -> Policy:
