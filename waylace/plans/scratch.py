@@ -38,8 +38,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/waylace/{tag}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, which :func:`clear_scratch` deletes."""
+    path = f"{shared_root(spark)}/waylace/{tag}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
@@ -51,7 +53,6 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._waylace_path = path
     return out
