@@ -36,7 +36,7 @@ def test_against_sql(spark, duck, sf_dir, name):
     assert rows(catalog.queries()[name](spark, sf_dir).toPandas()) == rows(duck.sql(catalog.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"boundary_near_prune"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_without_sql(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 

@@ -61,9 +61,9 @@ def densified(rows: DataFrame, keys: list[str], longest: float, line: str = "geo
     last = F.transform(F.slice(geom, -1, 1), lambda p: F.struct(p.alias("a"), p.alias("b")))
     pieces = lambda s: F.greatest(F.ceil(G.distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) / longest), F.lit(1)).cast("int")
     sides = rows.select(*keys, F.concat(G.segments(geom), last).alias("s")).select(*keys, "s", F.transform("s", pieces).alias("n"))
-    each = sides.select(*keys, "n", F.posexplode("s").alias("k", "side"))
-    first = F.aggregate(F.slice("n", F.lit(1), F.col("k")), F.lit(0), lambda total, m: total + m)
-    points = each.select(*keys, F.col("side.a.x").alias("ax"), F.col("side.a.y").alias("ay"), F.col("side.b.x").alias("bx"), F.col("side.b.y").alias("by"), F.element_at("n", F.col("k") + 1).alias("m"), first.alias("first"))
+    each = sides.select(*keys, "n", F.posexplode("s").alias("nth", "side"))
+    first = F.aggregate(F.slice("n", F.lit(1), F.col("nth")), F.lit(0), lambda total, m: total + m)
+    points = each.select(*keys, F.col("side.a.x").alias("ax"), F.col("side.a.y").alias("ay"), F.col("side.b.x").alias("bx"), F.col("side.b.y").alias("by"), F.element_at("n", F.col("nth") + 1).alias("m"), first.alias("first"))
     cut = points.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("q"))
     share = F.col("q") / F.col("m")
     return cut.select(*keys, (F.col("first") + F.col("q")).alias("i"), (F.col("ax") + share * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + share * (F.col("by") - F.col("ay"))).alias("y"))
