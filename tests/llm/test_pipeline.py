@@ -1,11 +1,12 @@
 import hashlib
+import os
 
 import corpus_pipeline
-from tests.llm.test_dedup import brute_components, slow_fingerprint
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_quality import words_of
+from tests.llm.test_shingle_dedup import kept_ids
 from waylace.llm import bpe, mixing, quality
-from waylace.plans.scratch import materialize
+from waylace.plans.scratch import cleared, materialize, shared_root
 
 
 def test_stages_against_brute_force(spark, docs, labels, sf_dir):
@@ -27,8 +28,7 @@ def test_stages_against_brute_force(spark, docs, labels, sf_dir):
         last[t] = max(last.get(t, i), i)
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(last.values())
     before, out = seen["SimHash near-dedup"]
-    fps = [slow_fingerprint(t) for _, t, _ in before]
-    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(brute_components(fps, [i for i, *_ in before])))
+    assert sorted(r["doc_id"] for r in out.collect()) == kept_ids([(i, t) for i, t, _ in before])
     before, out = seen["mixing sources to target weights"]
     sizes, texts = {}, {i: t for i, t, _ in before}
     for _, t, s in before:
@@ -54,3 +54,11 @@ def test_odd_rows_and_empty(spark, odd, none, sf_dir):
                 assert current.columns == df.columns
         if df is none:
             assert current.count() == 0
+
+
+def test_nothing_is_left_once_the_result_is_written(spark, sf_dir, tmp_path):
+    folder = f"{shared_root(spark).removeprefix('file://')}/waylace"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with cleared(spark):
+        corpus_pipeline.run(spark, sf_dir).write.parquet(str(tmp_path / "out"))
+    assert set(os.listdir(folder)) <= before and spark.read.parquet(str(tmp_path / "out")).count() > 0

@@ -154,3 +154,44 @@ def slow_counts_short(text):
             dup += line in seen
             seen.add(line)
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup
+
+
+def test_fit_against_dense_version(many):
+    docs, labels = many
+    labelled = quality.labelled_rows(quality.document_features(docs), labels)
+    rows = labelled.collect()
+    x, y, part = (np.array([r[c] for r in rows], dtype=float) for c in ("x", "y", "part"))
+    fit = part != 1
+    mean, scale = x[fit].mean(axis=0), x[fit].std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    rng, n = np.random.default_rng(quality.SEED), quality.N_FOURIER
+    project, phase = rng.normal(size=(len(FEATURES), n)) / np.sqrt(len(FEATURES)), rng.uniform(0, 2 * np.pi, n)
+
+    def waves(v):
+        z = np.clip((v - mean) / scale, -quality.CLIP, quality.CLIP)
+        return np.hstack([np.cos(z @ project + phase) * np.sqrt(2 / n), np.ones((len(v), 1))])
+
+    z = waves(x[fit])
+    whole = np.vstack([z, np.sqrt(quality.RIDGE * len(z) / n) * np.eye(n + 1)])  # ridge as least squares with further rows
+    weights = np.linalg.lstsq(whole, np.concatenate([y[fit], np.zeros(n + 1)]), rcond=None)[0]
+    model = quality.fit_quality(labelled)
+    assert np.allclose(model.raw(x), waves(x) @ weights, atol=1e-6)
+    at = np.clip(((model.raw(x[~fit]) + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    used = np.unique(at)
+    share, weight = np.array([y[~fit][at == b].mean() for b in used]), np.array([(at == b).sum() for b in used])
+    mean_of = lambda j, k: np.average(share[j : k + 1], weights=weight[j : k + 1])
+    slow = [max(min(mean_of(j, k) for k in range(i, len(used))) for j in range(i + 1)) for i in range(len(used))]
+    assert np.allclose(model.values, slow)
+    kernel = np.exp(-((np.clip((x[:40, None] - mean) / scale, -5, 5) - np.clip((x[None, :40] - mean) / scale, -5, 5)) ** 2).sum(axis=2) / 2 / len(FEATURES))
+    assert np.abs(waves(x[:40])[:, :-1] @ waves(x[:40])[:, :-1].T - kernel).mean() < 0.08  # the features approximate that kernel
+
+
+def test_rule_of_each_row(many):
+    docs, labels = many
+    rules = quality_rules.learn_rules(quality_rules.document_statistics(docs), labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert rules
+    for r in quality_rules.quality_verdicts(docs, labels).collect():
+        f = dict(zip(FEATURES, statistics(texts[r["doc_id"]].encode())[1], strict=True))
+        holds = (rule for rule in rules if all(f[c.feature] >= c.cut if c.at_least else f[c.feature] <= c.cut for c in rule))
+        assert r["rule"] == next((" and ".join(map(str, rule)) for rule in holds), None)
