@@ -6,6 +6,11 @@ axis-aligned rectangle; general polygons go through ``functions.kernels``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,18 +83,65 @@ def boundary_samples(boxes: DataFrame, policy: Policy) -> DataFrame:
     return rows.select("poly_id", "i", (F.col("x0") + along_x).alias("x"), (F.col("y0") + along_y).alias("y"))
 
 
-def boundary_mids(boxes: DataFrame, policy: Policy) -> DataFrame:
-    """``(poly_id, bin, x, y, width)``: midpoints of the farthest left and right samples in each bin along the axis."""
-    samples = boundary_samples(boxes, policy)
-    centre = boxes.select("poly_id", (F.col("x0") + F.col("w") / 2).alias("cx"), (F.col("y0") + F.col("h") / 2).alias("cy"), _axis_x("").alias("ax"))
-    rx, ry = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    along, across = F.when(F.col("ax") == 1, rx).otherwise(ry), F.when(F.col("ax") == 1, ry).otherwise(-rx)
-    placed = samples.join(centre, "poly_id").select("poly_id", "i", "x", "y", F.rint(along / policy.axis_bin).cast("long").alias("bin"), across.alias("across"))
+_MIDS = pa.schema([("poly_id", pa.int64()), ("bin", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "width"))])
+#: Samples that are worked on at once; a single box may have more.
+_SAMPLES = 1 << 18
+
+
+def _box_mids(box: np.ndarray, owner: np.ndarray, step: float, axis_bin: float, least_width: float) -> tuple[np.ndarray, ...]:
+    """``(owner, bin, x, y, width)`` of boxes (n, 4) sorted by their ``owner``, the place of their polygon."""
+    x0, y0, w, h = box.T
+    length = 2 * (w + h)
+    n = np.maximum(8, np.floor(length / step)).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    x0, y0, w, h, n, length = (c[of] for c in (x0, y0, w, h, n, length))
+    t = i / n * length
+    x = x0 + np.select([t <= w, t <= w + h, t <= 2 * w + h], [t, w, 2 * w + h - t], 0.0)
+    y = y0 + np.select([t <= w, t <= w + h, t <= 2 * w + h], [np.zeros(len(t)), t - w, h], 2 * w + 2 * h - t)
+    rx, ry = x - (x0 + w / 2), y - (y0 + h / 2)
+    along, across = np.where(w >= h, rx, ry), np.where(w >= h, ry, -rx)
+    bins, left, owner = np.rint(along / axis_bin).astype(np.int64), across >= 0, owner[of]
     # rounding keeps ties between opposite samples from resting on the last bit
-    far = lambda side: F.max_by(F.when(side, F.struct("x", "y")), F.when(side, F.struct(F.round(F.abs("across"), 9), -F.col("i"))))
-    sides = placed.groupBy("poly_id", "bin").agg(far(F.col("across") >= 0).alias("l"), far(F.col("across") < 0).alias("r")).where("l is not null and r is not null")
-    width = G.distance(F.col("l.x"), F.col("l.y"), F.col("r.x"), F.col("r.y"))
-    return sides.select("poly_id", "bin", ((F.col("l.x") + F.col("r.x")) / 2).alias("x"), ((F.col("l.y") + F.col("r.y")) / 2).alias("y"), width.alias("width")).where(F.col("width") >= policy.lane_width)
+    order = np.lexsort((i, -np.round(np.abs(across), 9), ~left, bins, owner))
+    owner, bins, left, x, y = (c[order] for c in (owner, bins, left, x, y))
+    first = np.ones(len(order), dtype=bool)  # of each side of each bin
+    first[1:] = (owner[1:] != owner[:-1]) | (bins[1:] != bins[:-1]) | (left[1:] != left[:-1])
+    owner, bins, left, x, y = (c[first] for c in (owner, bins, left, x, y))
+    k = np.flatnonzero((owner[1:] == owner[:-1]) & (bins[1:] == bins[:-1]))  # left, then right
+    width = np.sqrt((x[k] - x[k + 1]) * (x[k] - x[k + 1]) + (y[k] - y[k + 1]) * (y[k] - y[k + 1]))
+    wide = width >= least_width
+    k = k[wide]
+    return owner[k], bins[k], (x[k] + x[k + 1]) / 2, (y[k] + y[k + 1]) / 2, width[wide]
+
+
+def _mids_of(batches: Iterator[pa.RecordBatch], step: float, axis_bin: float, least_width: float) -> Iterator[pa.RecordBatch]:
+    """Midpoints of rows ``(poly_id, boxes)``, some ``_SAMPLES`` samples at a time."""
+    for batch in batches:
+        ids, boxes = batch.column(0), batch.column(1)
+        flat = boxes.flatten()
+        box = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "w", "h")], axis=1) if len(flat) else np.zeros((0, 4))
+        owner = np.repeat(np.arange(len(ids)), boxes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        upto = np.cumsum(np.maximum(8, 2 * (box[:, 2] + box[:, 3]) / step))
+        part = np.zeros(len(ids), dtype=np.int64)
+        part[owner] = (upto // _SAMPLES).astype(np.int64)  # all boxes of a polygon go to the part of its last
+        part = np.maximum.accumulate(part)[owner] if len(owner) else owner
+        for p in np.unique(part):
+            here = part == p
+            at, *rest = _box_mids(box[here], owner[here], step, axis_bin, least_width)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *map(pa.array, rest)], schema=_MIDS)
+
+
+def boundary_mids(boxes: DataFrame, policy: Policy) -> DataFrame:
+    """``(poly_id, bin, x, y, width)``: midpoints of the farthest left and right samples in each bin along the axis.
+
+    A polygon's samples (:func:`boundary_samples`) are made and compared in one
+    kernel, so that they are never rows: only boxes are shuffled.
+    """
+    step = max(policy.pair_step, policy.boundary_step_floor)
+    parts = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "w", "h")])
+    own = boxes.where("2 * (w + h) > 0").groupBy(F.col("poly_id").cast("long").alias("poly_id")).agg(F.collect_list(parts).alias("boxes"))
+    return own.mapInArrow(partial(_mids_of, step=step, axis_bin=policy.axis_bin, least_width=policy.lane_width), "poly_id long, bin long, x double, y double, width double")
 
 
 def break_segments(mids: DataFrame, policy: Policy) -> DataFrame:
