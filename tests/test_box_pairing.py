@@ -45,3 +45,18 @@ def test_mids_without_rows_of_samples(spark):
     assert sorted((r["poly_id"], r["bin"], round(r["x"], 6), round(r["y"], 6)) for r in found.collect()) == slow_mids([tuple(r) for r in df.collect()])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan  # samples are neither rows nor joined
+
+
+def test_segments_without_rows_of_samples(spark):
+    found = pairing.break_segments(pairing.boundary_mids(boxes(spark), POLICY), POLICY)
+    rows = {}
+    for poly, k, x, y in slow_mids([tuple(r) for r in boxes(spark).collect()]):
+        rows.setdefault(poly, []).append((k, x, y))
+    want = []
+    for poly, mids in rows.items():
+        segment = 0
+        for a, b in zip([mids[0], *mids], mids, strict=False):
+            segment += math.hypot(a[1] - b[1], a[2] - b[2]) > POLICY.axis_bin * POLICY.pair_break_bins
+            want.append((poly, b[0], segment))
+    assert sorted((r["poly_id"], r["bin"], r["segment"]) for r in found.collect()) == sorted(want)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
