@@ -1,8 +1,6 @@
 import math
 import random
 
-from pyspark.sql import functions as F
-
 from waylace.operators import pairing
 from waylace.plans.policy import policy_for_width
 
@@ -12,7 +10,7 @@ POLICY = policy_for_width(12.0)
 def boxes(spark):
     r = random.Random(1)
     rows = [(i, r.randrange(4000) / 4, r.randrange(4000) / 4, r.choice([4.0, 9.25, 24.0, 700.0]), r.choice([6.0, 24.0, 35.5])) for i in range(60)]
-    rows += [(i, x + 3.0, y, w, h + 1.0) for i, x, y, w, h in rows[:5]] + [(99, 0.0, 0.0, 0.0, 0.0)]  # polygons of two boxes, and one of no size
+    rows += [(i, x + 3.0, y, w + 2.25, h + 1.0) for i, x, y, w, h in rows[:5]] + [(99, 0.0, 0.0, 0.0, 0.0)]  # polygons of two boxes, and one of no size
     return spark.createDataFrame(rows, "poly_id long, x0 double, y0 double, w double, h double")
 
 
@@ -60,3 +58,30 @@ def test_segments_without_rows_of_samples(spark):
             want.append((poly, b[0], segment))
     assert sorted((r["poly_id"], r["bin"], r["segment"]) for r in found.collect()) == sorted(want)
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def slow_lines(mids, limit):
+    lines, line = [], []
+    for p in mids:
+        if len(line) >= 2 and math.hypot(p[0] - line[-1][0], p[1] - line[-1][1]) > limit:
+            lines.append(line)
+            line = []
+        line.append(p)
+    return [*lines, line] if len(line) >= 2 else lines
+
+
+def test_lines_without_a_fold(spark):
+    r = random.Random(2)
+    limit = POLICY.axis_bin * POLICY.pair_break_bins
+    rows, want = [], []
+    for poly in range(120):
+        x, mids = 0.0, []
+        for _ in range(r.randrange(1, 14)):
+            x += r.choice([1.0, 1.0, 50.0, 50.0])
+            mids.append((x, 0.0))
+        rows += [(poly, k, *p) for k, p in enumerate(mids)]
+        want += [(poly, k, line) for k, line in enumerate(slow_lines(mids, limit))]
+    found = pairing.boundary_pair_lines(spark.createDataFrame(rows, "poly_id long, bin long, x double, y double"), POLICY)
+    got = [(p["poly_id"], p["segment"], [(q["x"], q["y"]) for q in p["geom"]]) for p in found.orderBy("poly_id", "segment").collect()]
+    assert got == want
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # a fold copies the line at each midpoint

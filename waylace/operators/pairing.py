@@ -156,17 +156,14 @@ def boundary_pair_lines(mids: DataFrame, policy: Policy) -> DataFrame:
     """``(poly_id, segment, geom)``: lines through the midpoints.
 
     A lone midpoint is carried over a gap into the next segment, as a segment is
-    only closed once it has two points; the fold below keeps that rule.
+    only closed once it has two points.  Of gaps in a row every other one thus
+    closes a segment, from the first; before the first midpoint is one.
     """
-    limit = policy.axis_bin * policy.pair_break_bins
-    ordered = mids.groupBy("poly_id").agg(F.array_sort(F.collect_list(F.struct("bin", "x", "y"))).alias("m"))
-    start = F.struct(F.array().cast(f"array<{G.LINE}>").alias("done"), F.array().cast(G.LINE).alias("open"))
-
-    def add(acc: Column, p: Column) -> Column:
-        here = F.array(G.point(p["x"], p["y"]))
-        last = F.try_element_at(acc["open"], F.lit(-1))
-        closes = F.coalesce(G.distance(p["x"], p["y"], last["x"], last["y"]) > limit, F.lit(False)) & (F.size(acc["open"]) >= 2)
-        return F.struct(F.when(closes, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(closes, here).otherwise(F.concat(acc["open"], here)).alias("open"))
-
-    folded = F.aggregate("m", start, add, lambda acc: F.when(F.size(acc["open"]) >= 2, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
-    return ordered.select("poly_id", F.posexplode(folded).alias("segment", "geom"))
+    window = Window.partitionBy("poly_id").orderBy("bin")
+    gap = G.distance(F.col("x"), F.col("y"), F.lag("x").over(window), F.lag("y").over(window))
+    rows = mids.select("poly_id", "bin", "x", "y", F.row_number().over(window).alias("k"), F.coalesce(gap > policy.axis_bin * policy.pair_break_bins, F.lit(True)).alias("apart"))
+    near = F.coalesce(F.max(F.when(~F.col("apart"), F.col("k"))).over(window), F.lit(0))  # the last that is no gap
+    closes = (F.col("apart") & ((F.col("k") - near) % 2 == 1)).cast("int")
+    placed = rows.withColumn("closes", closes).withColumn("segment", (F.sum("closes").over(window) - 1).cast("int"))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("bin", "x", "y"))), lambda p: G.point(p["x"], p["y"]))
+    return placed.groupBy("poly_id", "segment").agg(points.alias("geom")).where(F.size("geom") >= 2)
