@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from waylace.functions import kernels
+from waylace.functions import kernels, offsets
 from waylace.functions.geometry import LINE
 
 
@@ -31,3 +32,15 @@ def test_structs_of_lines():
     got = kernels._joined([shape, None, shape], first, kind, ["ring", "whole"]).to_pylist()
     at = lambda x, y: [{"ring": [{"x": x, "y": y}, {"x": x + 1, "y": y + 1}], "whole": [{"x": x + 0.5, "y": y + 0.5}]}]
     assert got == [at(1.0, 2.0), None, at(5.0, 5.0)]
+
+
+def test_stable_parts_lie_where_the_polygon_does(spark):
+    ring = [(0.0, 0.0), (40.0, 0.0), (40.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
+    places = [(0.0, 0.0), (1200.5, -300.25), (7.0, 9000.0)]
+    df = spark.createDataFrame([(k, [(x + dx, y + dy) for x, y in ring]) for k, (dx, dy) in enumerate(places)], f"id long, whole {LINE}")
+    done = offsets.with_stable(df, 2.0, 0.2, 4.0)
+    for r in done.collect():
+        (part,) = r["parts"]
+        dx, dy = places[r["id"]]
+        for line in (part["ring"], part["whole"]):
+            assert min(p["x"] for p in line) == pytest.approx(dx) and max(p["y"] for p in line) == pytest.approx(dy + 20)
