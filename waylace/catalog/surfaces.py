@@ -44,8 +44,9 @@ def voronoi_skeleton(spark, sf_dir):
     """Skeleton edges of each box and their length."""
     policy = box_policy(spark, sf_dir)
     rows = kernels.skeleton_lines(rings(spark, sf_dir), policy.voronoi_step, policy.lane_width)
-    line = F.explode("parts").alias("geom")
-    return rows.select("poly_id", line).groupBy("poly_id").agg(F.count("*").alias("parts"), F.round(F.sum(G.line_length(F.col("geom"))), 3).alias("length"))
+    a, b = F.col("geom")[0], F.col("geom")[1]  # parts are two-point lines
+    lengths = rows.select("poly_id", F.explode("parts").alias("geom")).select("poly_id", G.distance(a["x"], a["y"], b["x"], b["y"]).alias("length"))
+    return lengths.groupBy("poly_id").agg(F.count("*").alias("parts"), F.round(F.sum("length"), 3).alias("length"))
 
 
 def opening(spark, sf_dir):
