@@ -8,8 +8,9 @@ columns of ``documents``:
 1. quality classifier: documents that it rejects go;
 2. exact dedup: of equal texts the row with the largest id stays;
 3. near-dedup: of each component of texts with similar five-word shingles the
-   row with the smallest id stays (:mod:`waylace.llm.shingle_dedup`; the
-   fingerprints of ``op2_simhash_near_dedup`` miss most of these pairs);
+   row with the smallest id stays (:mod:`waylace.llm.shingle_dedup`: the
+   SimHash index of ``op2_simhash_near_dedup`` on five-word shingles, and a
+   wider one for the pairs that 64 bits miss);
 4. mixing: a row for each pass that the mix makes over a document, with the
    words that the pass takes (the whole text where it takes all of them);
 5. byte-level BPE: the rows of the mix with their token ids, and the SHA-256 of

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline
 from tests.llm.conftest import odd_rows
-from waylace.llm import shingle_dedup
+from waylace.llm import shingle_dedup, simhash
 
 
 def slow_shingles(text):
@@ -62,3 +62,22 @@ def test_odd_rows_and_empty(odd, none):
     rows = [(i, t) for i, t, *_ in odd_rows() if i is not None]
     assert sorted(x["doc_id"] for x in out.collect()) == kept_ids(rows)
     assert shingle_dedup.keep_one_of_each(none).count() == 0
+
+
+def test_simhash_links_are_proposed(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(30):
+        base = [word() for _ in range(400)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = shingle_dedup.sketches(docs).collect()
+    fps = {x["doc_id"]: x["fp"] & (1 << 64) - 1 for x in sketched}
+    for i, text in rows:
+        assert fps[i] == simhash.fingerprint(text.encode(), 5)
+    nodes = {x["node"]: x["doc_id"] for x in sketched}
+    pairs = shingle_dedup._simhash_pairs(shingle_dedup.sketches(docs)).collect()
+    got = {tuple(sorted((nodes[p["u"]], nodes[p["v"]]))) for p in pairs}
+    want = {(i, j) for i, j in combinations(sorted(fps), 2) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    assert got == want and len(want) >= 20  # of 30

@@ -1,9 +1,11 @@
-"""Near-duplicates by similarity of word shingles, through a wider byte-position index.
+"""Near-duplicates by similarity of word shingles: SimHash, then a wider byte-position index.
 
 The pipeline's form of :mod:`waylace.llm.simhash`.  Two texts are
 near-duplicates if the Jaccard similarity of their sets of five-word shingles is
-at least 0.8.  One 64-bit SimHash is no filter for that: such texts differ in
-some ten bits.  Each text therefore has 125 fingerprints (minima of keyed hashes
+at least 0.8.  The 64-bit SimHash of each set goes through that module's
+byte-position index, tally and check of bits; texts that it links are verified
+on their shingles.  One 64-bit SimHash cannot find all pairs: texts at 0.8
+differ in some ten bits.  Each text therefore also has 125 minimum hashes (minima of keyed hashes
 of its shingles), of which one byte each is kept as its positional bytes.  The
 index posts a text under 25 choices of five positions, with the whole
 fingerprints there: a pair at 0.8 shares no choice with odds of 5e-5, fewer
@@ -12,8 +14,8 @@ than ``LEAST_EQUAL`` of them (four standard deviations below what 0.8 gives) go,
 the rest are verified on the whole sets of 64-bit shingle hashes, so no pair
 below 0.8 is linked.
 
-A list of the index does not yield all its pairs.  Neighbours in it are verified
-first; then, only in lists that still hold several components, each member with
+A list of the wider index does not yield all its pairs.  Neighbours in it are verified
+first, with what the SimHash links; then, only in lists that still hold several components, each member with
 the one of another component that it shares most positional bytes with, twice;
 and then all pairs that are left across components and may be similar: pairs
 with a shingle in common that at most ``RARE`` of these texts have, and pairs
@@ -39,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waylace.llm import simhash
 from waylace.llm.arrow import map_rows
 from waylace.llm.simhash import first_rows, picked_rows
 from waylace.plans.components import connected_components
@@ -79,6 +82,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles: bits that over half of the hashes have; zero for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -89,15 +100,15 @@ def _make():
         low = signature(hashes)
         keys = [_signed(xxhash.xxh64_intdigest(low[k : k + BAND_ROWS].tobytes(), k)) for k in range(0, len(low), BAND_ROWS)]
         brief = (low >> np.uint64(56)).astype(np.uint8).tobytes()
-        return doc_id, tie, _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), keys, brief
+        return doc_id, tie, _signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), len(hashes), _signed(simhash_of(hashes)), keys, brief
 
     return row
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row ``doc_id, tie``, the ``node`` of its shingle set, the set's ``size``, ``keys`` of bands and ``brief`` fingerprints."""
+    """For every row ``doc_id, tie``, the ``node`` of its shingle set, the set's ``size`` and SimHash ``fp``, ``keys`` of bands and ``brief`` fingerprints."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).cast("binary").alias("raw"))
-    return map_rows(rows, _make, "doc_id long, tie long, node long, size int, keys array<long>, brief binary")
+    return map_rows(rows, _make, "doc_id long, tie long, node long, size int, fp long, keys array<long>, brief binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -270,14 +281,34 @@ def _chain(lists: DataFrame) -> DataFrame:
     return out
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs ``(u, v)``: nodes with links between their SimHashes, and a chain of those that share one."""
+    known = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "simhashes")
+    links = simhash.near_links(known)
+    ends = links.join(known.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(known.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    several = nodes.join(known.where("first <> last").select("fp"), "fp").select("node", F.col("fp").alias("key"))
+    out = materialize(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(_chain(several)).distinct(), "simhash-pairs")
+    for table in (links, known):
+        discard(table)
+    return out
+
+
+def _proposed(chain: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs of two tables, as a table."""
+    out = materialize(chain.unionByName(pairs).distinct(), "proposed")
+    for table in (chain, pairs):
+        discard(table)
+    return out
+
+
 def near_links(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links ``(u, v)`` that join all similar nodes of ``rows`` (:func:`sketches` of ``docs``) that meet in the index."""
-    own = rows.groupBy("node", "doc_id", "tie").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "keys", "brief")])
+    """Links ``(u, v)`` that join all similar nodes of ``rows`` (:func:`sketches` of ``docs``) that the SimHash links or that meet in the index."""
+    own = rows.groupBy("node", "doc_id", "tie").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "fp", "keys", "brief")])
     stands = F.min(F.struct("doc_id", "tie", "n")).alias("row")  # any row of the node will do
-    nodes = own.groupBy("node").agg(stands, *[F.first(c).alias(c) for c in ("size", "keys", "brief")])
-    nodes = materialize(nodes.select("node", "size", "keys", "brief", F.col("row.doc_id").alias("id"), F.col("row.tie").alias("tie"), F.col("row.n").alias("n")), "nodes")
+    nodes = own.groupBy("node").agg(stands, *[F.first(c).alias(c) for c in ("size", "fp", "keys", "brief")])
+    nodes = materialize(nodes.select("node", "size", "fp", "keys", "brief", F.col("row.doc_id").alias("id"), F.col("row.tie").alias("tie"), F.col("row.n").alias("n")), "nodes")
     lists = _lists(nodes)
-    chain = _chain(lists)
+    chain = _proposed(_chain(lists), _simhash_pairs(nodes))
     alike = materialize(_tally(chain, nodes), "alike")
     links, tested = _verified(alike, nodes, docs, id_col, text_col), chain
     for best in (True, True, False):  # the likeliest pairs join most components, so that few pairs are left across them
