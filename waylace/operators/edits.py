@@ -255,7 +255,7 @@ def planarize(edges: DataFrame) -> DataFrame:
     cuts = cut_places(edges).unionByName(edges.select("edge_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")))
     window = Window.partitionBy("edge_id").orderBy("t")
     spans = cuts.withColumn("t2", F.lead("t").over(window)).where("t2 is not null")
-    rows = spans.join(edges.select("edge_id", *XY), "edge_id")
+    rows = spans.join(edges.select("edge_id", *XY).hint("merge"), "edge_id")  # edges may be far more than their file's size tells
     at = lambda c: [G.snapped(F.col(f"u{axis}") + F.col(c) * (F.col(f"v{axis}") - F.col(f"u{axis}"))) for axis in "xy"]
     a, b = F.struct(*[v.alias(n) for v, n in zip(at("t"), "xy", strict=True)]), F.struct(*[v.alias(n) for v, n in zip(at("t2"), "xy", strict=True)])
     pieces = rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()

@@ -20,13 +20,16 @@ def _cells(df: DataFrame, box: tuple[Column, Column, Column, Column], cell: floa
     return named.withColumn(f"{prefix}cx", F.explode(F.sequence(grid(f"{prefix}x1"), grid(f"{prefix}x2")))).withColumn(f"{prefix}cy", F.explode(F.sequence(grid(f"{prefix}y1"), grid(f"{prefix}y2"))))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, left_box: tuple[Column, Column, Column, Column], right_box: tuple[Column, Column, Column, Column], reach: float, cell: float, how_also: Column | None = None, spread: bool = False) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, left_box: tuple[Column, Column, Column, Column], right_box: tuple[Column, Column, Column, Column], reach: float, cell: float, how_also: Column | None = None, spread: bool = False, merged: bool = False) -> DataFrame:
     """Rows of ``left`` and ``right`` whose boxes come within ``reach`` of each other on both axes.
 
     Boxes are (x1, y1, x2, y2) columns of their own side; column names of the two
     sides must differ.  ``how_also`` is a further condition of the join; ``spread``
     keeps the cells in as many tasks as the session's shuffles have, for joins
-    whose pairs cost more than their bytes tell.
+    whose pairs cost more than their bytes tell.  ``merged``, and ``spread`` too,
+    keep the cells from being broadcast: Spark takes a table's size from its file,
+    in which the rows that sides and cells add do not show, so that it would send
+    large tables through the driver.
     """
     x1, y1, x2, y2 = left_box
     a = _cells(left, (x1 - reach, y1 - reach, x2 + reach, y2 + reach), cell, "_l")
@@ -34,6 +37,8 @@ def near_pairs(left: DataFrame, right: DataFrame, left_box: tuple[Column, Column
     if spread:
         tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         a, b = a.repartition(tasks, "_lcx", "_lcy"), b.repartition(tasks, "_rcx", "_rcy")
+    if spread or merged:
+        a, b = a.hint("merge"), b.hint("merge")
     home_x = F.floor(F.greatest("_lx1", "_rx1") / cell)
     home_y = F.floor(F.greatest("_ly1", "_ry1") / cell)
     meet = (
