@@ -33,3 +33,10 @@ def test_crowded_cell_and_covered_sides(spark):
     got = {tuple(r) for r in dissolve.union_boundary(rings).collect()}
     outline = {(0, 0, 10, 0), (0, 0, 0, 10), (0, 10, 10, 10), (10, 0, 10, 4), (10, 6, 10, 10), (10, 4, 18, 4), (10, 6, 18, 6), (18, 4, 18, 6)}
     assert got == outline | {(500, 500, 700, 500), (500, 501, 700, 501), (500, 500, 500, 501), (700, 500, 700, 501)}
+
+
+def test_boxes_are_compared_before_rings(spark):
+    df = spark.createDataFrame([(1, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 0.0)])], f"poly_id long, ring {G.LINE}")
+    plan = dissolve.union_boundary(df)._jdf.queryExecution().optimizedPlan().toString()
+    (join,) = [line for line in plan.splitlines() if "Join Inner" in line and "aggregate(" in line]
+    assert all(join.index(c) < join.index("aggregate(") for c in ("_lx1", "_rx2", "_ly1", "_ry2"))

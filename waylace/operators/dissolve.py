@@ -62,8 +62,8 @@ def union_boundary(polygons: DataFrame, ring: str = "ring", cell: float = 64.0)
     mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
     sides = pieces.select("*", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("side")).select("ax", "ay", "bx", "by", "side", (mx + nx * SIDE * F.col("side")).alias("px"), (my + ny * SIDE * F.col("side")).alias("py"))
     at = (F.col("px"), F.col("py"), F.col("px"), F.col("py"))
-    found = near_pairs(sides, polygons.select(F.col(ring).alias("_ring")), at, ring_box(F.col("_ring")), 0.0, cell, merged=True)
-    covered = found.where(ring_contains(F.col("_ring"), F.col("px"), F.col("py")))
+    # part of the join: a filter after it would be tried before the comparison of boxes
+    covered = near_pairs(sides, polygons.select(F.col(ring).alias("_ring")), at, ring_box(F.col("_ring")), 0.0, cell, ring_contains(F.col("_ring"), F.col("px"), F.col("py")), merged=True)
     once = covered.groupBy("ax", "ay", "bx", "by").agg(F.min("side").alias("low"), F.max("side").alias("high"))
     return once.where("low = high").drop("low", "high")
 
